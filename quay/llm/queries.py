@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quay.llm import decontam, exact, packing, quality, shared, tokenfile
+from quay.llm import chat, decontam, exact, lines, packing, quality, shared, tokenfile
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -37,6 +37,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_format(table(spark, sf_dir, "conversations"))
+
+
 def fitted(spark: SparkSession, sf_dir: str) -> quality.Model:
     """The quality model, learned from labelled rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -63,6 +67,33 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+WITH c AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+p AS (SELECT conv_id, turn, role, text, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS said,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM c),
+r AS (SELECT conv_id, k, string_agg(length(role) || ':' || role || text, chr(0) ORDER BY k) OVER w AS prefix, count(*) OVER (PARTITION BY conv_id) AS n FROM p
+      WINDOW w AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+best AS (SELECT prefix, min(conv_id) AS conv_id, count(*) AS copies FROM r WHERE k = n GROUP BY prefix HAVING prefix NOT IN (SELECT prefix FROM r WHERE k < n))
+SELECT conv_id, count(*) AS n_turns, any_value(copies) AS copies, string_agg(said, '' ORDER BY k) AS rendered FROM p JOIN best USING (conv_id) GROUP BY conv_id
+"""
+
+STRIP = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, len(ls) AS n, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM d),
+x AS (SELECT *, translate(trim(line, {STRIP}), '{UPPER}', '{LOWER}') AS key FROM l),
+g AS (SELECT key, max(doc_id) AS top FROM x WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT rid) >= 5),
+y AS (SELECT x.*, g.top IS NOT NULL AND g.top IS DISTINCT FROM x.doc_id AS gone FROM x LEFT JOIN g USING (key))
+SELECT doc_id, any_value(n) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM y GROUP BY rid, doc_id
+"""
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -71,8 +102,8 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op7_quality, op8_token_file, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_chat_format, op7_quality, op8_token_file, op9_exact_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_decontamination": OP2_SQL, "op3_chat_format": OP3_SQL, "op9_exact_dedup": OP9_SQL, "op10_line_dedup": OP10_SQL}
