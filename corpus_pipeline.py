@@ -1,29 +1,61 @@
-"""A corpus pipeline: each stage works on all that the one before it kept."""
+"""A corpus pipeline: each stage works on all that the one before it kept.
+
+Quality classifier, exact dedup, near duplicates, benchmark decontamination, packing. All stages but the last return the columns of
+``documents``; the last returns the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quay.llm import decontam, exact, jaccard, packing, quality, shared
+from quay.llm.queries import TOKENIZER, table
+
+#: Documents that score less are rejected.
+LEAST_QUALITY = 0.5
+
 
-from quay.llm import exact, packing, shared
-from quay.llm.queries import TOKENIZER
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what a classifier, learned from the labelled rows that are not held out, rejects."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~quality.held_out(F.col("doc_id")))
+    return quality.keep(docs, quality.learn(docs.select("doc_id", "text").join(labels, "doc_id")), least=LEAST_QUALITY)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the largest doc_id stays."""
     return exact.kept_documents(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the least doc_id stays."""
+    return jaccard.kept_documents(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out benchmark passages; drop documents of which more than half is hit."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"), window=10, max_coverage=0.5)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, TOKENIZER)
+    """Power-of-two sequences of at most 2048 token ids."""
+    return packing.pack(docs, TOKENIZER, longest=2048, end_id=1)
 
 
-STAGES = [("exact dedup", exact_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("near duplicates", near_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
-#: Tokenization and the classifier can't be said in SQL; tests compare each stage with a brute-force version.
+#: The classifier and the tokenizer can't be said in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
