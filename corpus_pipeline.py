@@ -19,7 +19,7 @@ LEAST_QUALITY = 0.5
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what a classifier, learned from the labelled rows that are not held out, rejects."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~quality.held_out(F.col("doc_id")))
-    return quality.keep(docs, quality.learn(docs.select("doc_id", "text").join(labels, "doc_id")), least=LEAST_QUALITY)
+    return quality.keep(docs, quality.learn(docs, labels), least=LEAST_QUALITY)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,10 +100,15 @@ def fit(texts: list[str], labels: list[int], *, dims: int = 8, epochs: int = 6,
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def learn(labelled: DataFrame, *, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most ``max_train`` rows (doc_id, text, quality): those with the least hash of doc_id."""
-    known = labelled.where("quality in (0, 1)").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("quality").cast("int").alias("label"))
-    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "label").limit(max_train).collect()
+def learn(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Model:
+    """Fit on the texts of at most ``max_train`` rows of ``labels`` (doc_id, quality): those with the least hash of doc_id.
+
+    The labels are chosen first, so the side that is broadcast has at most ``max_train`` rows and no text is shuffled.
+    """
+    known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("label"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = sorted(texts.join(F.broadcast(chosen), "doc_id").collect())
     if not rows:
         return Model(np.zeros(1 << BUCKET_BITS), 0.0)
     return fit([r.text for r in rows], [r.label for r in rows])

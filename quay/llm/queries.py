@@ -58,7 +58,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fitted(spark: SparkSession, sf_dir: str) -> quality.Model:
     """The quality model, learned from labelled rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return quality.learn(docs.join(labels.where(~quality.held_out(F.col("doc_id"))), "doc_id"))
+    return quality.learn(docs, labels.where(~quality.held_out(F.col("doc_id"))))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
