@@ -27,7 +27,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quay.llm import columns, graph, keycounts, shared
@@ -36,8 +36,8 @@ WIDTH = 5
 NO_ID = -(2**63)
 #: Sizes for which enumeration is weighed against the lists.
 MOST_LIGHT = 15
-#: Partners of one set that are compared in one task's group.
-PARTNERS = 256
+#: Shingles of all sets that are compared in one group, about: some 8 MB.
+BUCKET_SHINGLES = 1_500_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -76,41 +76,83 @@ def short_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return upper[new], np.cumsum(new) - 1
 
 
+SIGNED = "block string, path string, pos int, doc_id long, n long, hi long, lo long"
+
+
+def signed(docs: DataFrame, folder: str) -> DataFrame:
+    """Set sizes and 128-bit signatures of all documents, and where their words are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        for k, block in enumerate(keycounts.blocks(batches)):
+            name = f"{task.partitionId()}-{k}"
+            path = f"{folder}/{name}-{task.taskAttemptId()}"
+            block.save(path)
+            keys, member, bounds = sets(block)
+            n = np.diff(bounds)
+            hi = columns.sums(columns.mixed(keys)[member], bounds) + n.astype(np.uint64)
+            lo = columns.sums(columns.mixed(keys ^ FACTORS[1])[member], bounds)
+            ids = np.where(block.null_ids.astype(bool), NO_ID, block.ids)
+            yield pa.RecordBatch.from_pydict({
+                "block": [name] * len(n), "path": [path] * len(n), "pos": pa.array(range(len(n)), pa.int32()), "doc_id": pa.array(ids), "n": pa.array(n),
+                "hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)),
+            })
+
+    return docs.mapInArrow(run, SIGNED)
+
+
+def asked(reps: DataFrame, folder: str, bits: int) -> DataFrame:
+    """What blocks ask for their class representatives alone, so that copies do not make a shingle look frequent."""
+
+    def run(table: pa.Table) -> pa.Table:
+        from pyspark import TaskContext
+
+        name = table.column("block")[0].as_py()
+        path = f"{folder}/{name}-{TaskContext.get().taskAttemptId()}"
+        block = keycounts.Block.load(table.column("path")[0].as_py()).take(np.sort(table.column("pos").to_numpy()))
+        block.save(path)
+        return pa.Table.from_batches([keycounts.asked(name, path, *request(block), bits)])
+
+    return reps.select("block", "path", "pos").groupBy("block").applyInArrow(run, keycounts.REQUEST)
+
+
 def request(block: keycounts.Block) -> tuple[np.ndarray, np.ndarray]:
     keys, member, _ = sets(block)
     upper, at = short_keys(keys)
     return upper, np.bincount(at[member], minlength=len(upper))
 
 
-SET_SCHEMA = "doc_id long, n long, hi long, lo long, prefix array<long>, cost long, common binary"
+SET_SCHEMA = "cid long, n long, prefix array<struct<key: long, pos: long>>, cost long, common binary"
 
 
 def described(block: keycounts.Block, counts: np.ndarray) -> pa.Table:
-    """Documents' set sizes and signatures; of sets that may have a partner, the rarest shared shingles and all shared ones."""
+    """Of sets that may have a partner: the rarest shared shingles with their places in the set's order, and all shared ones."""
     keys, member, bounds = sets(block)
     _, at = short_keys(keys)
     df = counts[at].astype(np.int64) if len(keys) else np.zeros(0, np.int64)
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
-    hi = columns.sums(columns.mixed(keys)[member], bounds) + n.astype(np.uint64)
-    lo = columns.sums(columns.mixed(keys ^ FACTORS[1])[member], bounds)
     ours = df[member] >= 2
-    room = n + (-4 * n // 5) + 1 - np.bincount(doc[~ours], minlength=len(n))  # of the rarest, those that others hold
+    alone = np.bincount(doc[~ours], minlength=len(n))  # these come first in the set's order and lead to nobody
+    room = n + (-4 * n // 5) + 1 - alone
     at = np.flatnonzero(ours & (room[doc] > 0))
     who, what = doc[at], member[at]
     edges = np.searchsorted(who, np.arange(len(n) + 1))
     order = np.lexsort((what, df[what], who))
     rank = np.arange(len(at)) - edges[who]
-    first = order[rank < room[who]]  # the order keeps documents together, so ranks line up
-    prefix = keys[what[first]].view(np.int64)
+    taken = rank < room[who]
+    first = order[taken]  # the order keeps documents together, so ranks line up
     cuts = np.concatenate(([0], np.cumsum(np.minimum(np.maximum(room, 0), np.diff(edges)))))
-    common = [keycounts.squeeze_sorted(keys[what[a:b]]) if b > a else None for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    spots = pa.StructArray.from_arrays([pa.array(keys[what[first]].view(np.int64)), pa.array((alone[who] + rank)[taken])], ["key", "pos"])
+    full = np.diff(edges) > 0
+    common = [keycounts.squeeze_sorted(keys[what[a:b]]) for a, b in zip(edges[:-1][full].tolist(), edges[1:][full].tolist(), strict=True)]
     ids = np.where(block.null_ids.astype(bool), NO_ID, block.ids)
-    return pa.Table.from_pydict({
-        "doc_id": pa.array(ids), "n": pa.array(n), "hi": pa.array(hi.view(np.int64)), "lo": pa.array(lo.view(np.int64)),
-        "prefix": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(prefix)),
-        "cost": pa.array(columns.sums(df[what[first]], cuts)), "common": pa.array(common, pa.binary()),
+    out = pa.Table.from_pydict({
+        "cid": pa.array(ids), "n": pa.array(n), "prefix": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spots), "cost": pa.array(columns.sums(df[what[first]], cuts)),
     })
+    return out.filter(pa.array(full)).append_column("common", pa.array(common, pa.binary()))
 
 
 # -- light sets ----------------------------------------------------------------------------------------------------------
@@ -146,7 +188,7 @@ def light_links(reps: DataFrame, bound: int) -> DataFrame:
                         out[3].append(r["n"])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["subset", "c", "cid", "n"])
 
-    rows = reps.where((F.col("n") <= bound) & F.col("common").isNotNull()).select("cid", "n", "common")
+    rows = reps.where(F.col("n") <= bound).select("cid", "n", "common")
     held = shared.stored(rows.mapInArrow(run, "subset long, c long, cid long, n long"), "subsets")
     best = held.groupBy("subset", "c").agg(F.min(F.struct("n", "cid")).alias("best"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
     met = held.join(best, ["subset", "c"]).where("cid <> best.cid and 9 * c >= 4 * (n + best.n)")
@@ -157,50 +199,50 @@ def light_links(reps: DataFrame, bound: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) that link."""
+    """Those of the pairs (u, v, n_u, n_v) that link.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, keys = None, None
-        for batch in batches:
-            mine, theirs, n, m = (batch.column(c) for c in ("common_u", "common_v", "n_u", "n_v"))
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                raw = mine[i].as_py()
-                if raw != last:
-                    last, keys = raw, keycounts.spread_sorted(raw)
-                other = keycounts.spread_sorted(theirs[i].as_py())
-                both = len(np.intersect1d(keys, other, assume_unique=True))
-                keep[i] = 9 * both >= 4 * (n[i].as_py() + m[i].as_py())
-            yield batch.select(["u", "v"]).filter(pa.array(keep))
-
-    partners = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("partners")).select(F.col("u").alias("of"), F.ceil(F.col("partners") / PARTNERS).cast("long").alias("copies"))
-    sets_v = reps.select(F.col("cid").alias("v"), F.col("n").alias("n_v"), F.col("common").alias("common_v"))
-    sets_u = reps.join(partners, F.col("cid") == F.col("of")).select(
-        F.col("cid").alias("u"), F.col("n").alias("n_u"), F.col("common").alias("common_u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
-    )
-    salted = pairs.join(partners.select(F.col("of").alias("u"), "copies"), "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("copies")).alias("copy"))
-    return salted.join(sets_v, "v").join(sets_u, ["u", "copy"]).select("u", "v", "n_u", "n_v", "common_u", "common_v").mapInArrow(run, "u long, v long")
-
-
-def _fitting(a: str, b: str):
-    return F.expr(f"4 * greatest({a}, {b}) <= 5 * least({a}, {b})")
+    Pairs are dealt into buckets of about equal weight, a set with many partners into as many as they need; a bucket gets each of its left sets once.
+    """
+    weight = pairs.agg(F.sum(F.col("n_u") + F.col("n_v"))).first()[0] or 0
+    buckets = weight // BUCKET_SHINGLES + 1
+
+    def run(rows: pa.Table, owners: pa.Table) -> pa.Table:
+        mine = {u: keycounts.spread_sorted(x) for u, x in zip(owners.column("u").to_pylist(), owners.column("common_u").to_pylist(), strict=True)}
+        u, n, m = (rows.column(c).to_pylist() for c in ("u", "n_u", "n_v"))
+        keep = np.zeros(len(rows), bool)
+        for i, raw in enumerate(rows.column("common_v")):
+            both = len(np.intersect1d(mine[u[i]], keycounts.spread_sorted(raw.as_py()), assume_unique=True))
+            keep[i] = 9 * both >= 4 * (n[i] + m[i])
+        return rows.select(["u", "v"]).filter(pa.array(keep))
+
+    partners = pairs.groupBy("u").agg((F.sum("n_v") / BUCKET_SHINGLES).alias("load")).select(F.col("u").alias("of"), (F.floor("load") + 1).alias("copies"))
+    sets_v = reps.select(F.col("cid").alias("v"), F.col("common").alias("common_v"))
+    bucket = F.pmod(F.xxhash64("u", "copy"), F.lit(buckets)).alias("bucket")
+    sets_u = reps.join(partners, F.col("cid") == F.col("of")).select(F.col("cid").alias("u"), F.col("common").alias("common_u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).select(bucket, "u", "common_u")
+    salted = pairs.join(partners.select(F.col("of").alias("u"), "copies"), "u").select("u", "v", "n_u", "n_v", F.pmod(F.xxhash64("v"), F.col("copies")).alias("copy"))
+    met = salted.join(sets_v, "v").select(bucket, "u", "v", "n_u", "n_v", "common_v")
+    return met.groupBy("bucket").cogroup(sets_u.groupBy("bucket")).applyInArrow(run, "u long, v long")
+
+
+def may_link(other: str) -> Column:
+    """Whether a pair whose first common shingle is this list's can share enough: what each has from there on bounds the overlap."""
+    return F.expr(f"9 * (n - pos) >= 4 * (n + n_{other}) and 9 * (n_{other} - pos_{other}) >= 4 * (n + n_{other})")
 
 
 def heavy_links(reps: DataFrame, bound: int, links: DataFrame) -> DataFrame:
     """``links`` and all links that the lists add between what would be different components."""
-    posted = reps.where(5 * F.col("n") > 4 * bound).select(F.explode("prefix").alias("key"), "cid", "n")
-    longer = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cid", "n")).alias("first")).where("size > 1").select("key", F.col("first.cid").alias("p"), F.col("first.n").alias("n_p"))
+    posted = reps.where(5 * F.col("n") > 4 * bound).select(F.explode("prefix").alias("x"), "cid", "n").select("x.key", "cid", "n", "x.pos")
+    longer = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cid", "n", "pos")).alias("f")).where("size > 1").select("key", F.col("f.cid").alias("p"), F.col("f.n").alias("n_p"), F.col("f.pos").alias("pos_p"))
     lists = shared.stored(posted.join(longer, "key"), "lists")
-    pairs = lists.where((F.col("cid") != F.col("p")) & _fitting("n", "n_p")).select(F.col("p").alias("u"), F.col("cid").alias("v")).distinct()
+    pairs = lists.where((F.col("cid") != F.col("p")) & may_link("p")).select(F.col("p").alias("u"), F.col("cid").alias("v"), F.col("n_p").alias("n_u"), F.col("n").alias("n_v")).distinct()
     pairs = seen = shared.stored(pairs, "pairs")
-    left = lists.where("cid <> p").select("key", "cid", "n")
+    left = lists.where("cid <> p").select("key", "cid", "n", "pos")
     take = 8
     while True:
         links = shared.stored(links.unionByName(compared(pairs, reps)), "links")
         labels = graph.components(links)
-        named = left.join(labels.withColumnRenamed("u", "cid"), "cid", "left").select("key", "cid", "n", F.coalesce("label", "cid").alias("label"))
-        groups = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-        still = groups.groupBy("key").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1").select("key")
+        named = left.join(labels.withColumnRenamed("u", "cid"), "cid", "left").select("key", "cid", "n", "pos", F.coalesce("label", "cid").alias("label"))
+        still = named.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("key")
         left = shared.stored(named.join(still, "key", "left_semi"), "left")
         if left.isEmpty():
             return links
@@ -209,12 +251,13 @@ def heavy_links(reps: DataFrame, bound: int, links: DataFrame) -> DataFrame:
         salt = F.pmod(F.xxhash64("cid"), F.lit(32))
         inner, outer = (F.expr(f"row_number() over (partition by {k} order by size, label, cid)") for k in ("key, salt", "key"))
         pivots = ranked.withColumn("salt", salt).withColumn("r", inner).where(F.col("r") <= take).withColumn("r", outer).where(F.col("r") <= take)
-        pivots = shared.stored(pivots.select("key", F.col("cid").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("label_p")), "pivots")
-        met = left.join(pivots, "key").where((F.col("label") != F.col("label_p")) & _fitting("n", "n_p"))
-        pairs = met.select(F.least("p", "cid").alias("u"), F.greatest("p", "cid").alias("v")).distinct().join(seen, ["u", "v"], "left_anti")
-        pairs = shared.stored(pairs, "pairs")
+        pivots = shared.stored(pivots.select("key", F.col("cid").alias("p"), F.col("n").alias("n_p"), F.col("pos").alias("pos_p"), F.col("label").alias("label_p")), "pivots")
+        met = left.join(pivots, "key").where((F.col("label") != F.col("label_p")) & may_link("p"))
+        swap = F.col("p") > F.col("cid")
+        pairs = met.select(F.least("p", "cid").alias("u"), F.greatest("p", "cid").alias("v"), F.when(swap, F.col("n")).otherwise(F.col("n_p")).alias("n_u"), F.when(swap, F.col("n_p")).otherwise(F.col("n")).alias("n_v"))
+        pairs = shared.stored(pairs.distinct().join(seen.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
         seen = shared.stored(seen.unionByName(pairs), "seen")
-        left = left.join(pivots.select("key", F.col("p").alias("cid")), ["key", "cid"], "left_anti").select("key", "cid", "n")
+        left = left.join(pivots.select("key", F.col("p").alias("cid")), ["key", "cid"], "left_anti").select("key", "cid", "n", "pos")
         take *= 8
 
 
@@ -223,17 +266,16 @@ def heavy_links(reps: DataFrame, bound: int, links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id that links reach)."""
-    folder = shared.scratch(docs.sparkSession, "shingles")
-    rows = keycounts.picked(docs, F.lit(False))
-    asked = keycounts.requests(rows, request, folder, keycounts.shard_bits(docs))
-    found = shared.stored(keycounts.per_block(keycounts.answers(asked), described, SET_SCHEMA), "sets")
-    same = found.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("cid"))
-    held = found.where("common is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("cost").alias("cost"), F.first("prefix").alias("prefix"), F.first("common").alias("common"))
-    reps = shared.stored(held.drop("hi", "lo"), "classes")
+    spark, bits = docs.sparkSession, keycounts.shard_bits(docs)
+    found = shared.stored(signed(keycounts.picked(docs, F.lit(False)), shared.scratch(spark, "words")), "signed")
+    same = found.where("n > 0").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "block", "path", "pos")).alias("r"))
+    firsts = shared.stored(same.select("hi", "lo", F.col("r.doc_id").alias("cid"), "r.block", "r.path", "r.pos"), "firsts")
+    replies = keycounts.answers(asked(firsts, shared.scratch(spark, "classes"), bits))
+    reps = shared.stored(keycounts.per_block(replies, described, SET_SCHEMA), "sets")
     bound = boundary(reps)
     links = heavy_links(reps, bound, light_links(reps, bound))
     labels = graph.components(links).withColumnRenamed("u", "cid")
-    named = found.select("doc_id", "n", "hi", "lo").join(same, ["hi", "lo"], "left").join(labels, "cid", "left")
+    named = found.select("doc_id", "n", "hi", "lo").join(firsts.select("hi", "lo", "cid"), ["hi", "lo"], "left").join(labels, "cid", "left")
     null = lambda c: F.when(c != NO_ID, c)
     own = F.when(F.col("n") > 0, F.coalesce("label", "cid")).otherwise(F.col("doc_id"))
     return named.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(own).alias("component_id"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quay.llm import columns, shared
 
 #: Words in a block, about.
-BLOCK_WORDS = 4_500_000
+BLOCK_WORDS = 2_000_000
 REQUEST = "block string, path string, shard int, keys binary, counts binary"
 ANSWER = "block string, path string, shard int, counts binary, kinds long, total long"
 
@@ -63,6 +63,12 @@ class Block:
     bounds: np.ndarray
     null_ids: np.ndarray
 
+    def take(self, docs: np.ndarray) -> Block:
+        """These documents alone."""
+        sizes = np.diff(self.bounds)[docs]
+        words = self.words[columns.ranges(self.bounds[:-1][docs], sizes)]
+        return Block(self.ids[docs], self.flags[docs], self.hashes, words, np.concatenate(([0], np.cumsum(sizes))), self.null_ids[docs])
+
     def save(self, path: str) -> None:
         fs, at = shared.filesystem(path)
         fs.create_dir(at.rpartition("/")[0], recursive=True)
@@ -116,6 +122,16 @@ def shard_bits(df: DataFrame) -> int:
     return max(3, (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
+def asked(name: str, path: str, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """The request rows of a block, one for every shard: also where there are no keys."""
+    edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+    spans = [slice(edges[s], edges[s + 1]) for s in range(1 << bits)]
+    return pa.RecordBatch.from_pydict({
+        "block": [name] * len(spans), "path": [path] * len(spans), "shard": pa.array(range(len(spans)), pa.int32()),
+        "keys": pa.array([squeeze_sorted(keys[x]) for x in spans], pa.binary()), "counts": pa.array([squeeze(counts[x].astype(np.uint32)) for x in spans], pa.binary()),
+    })
+
+
 def requests(docs: DataFrame, keys_of, folder: str, bits: int) -> DataFrame:
     """``docs``: doc_id long, text string, flag boolean. ``keys_of(block)`` gives ascending distinct keys and their counts."""
 
@@ -127,12 +143,7 @@ def requests(docs: DataFrame, keys_of, folder: str, bits: int) -> DataFrame:
             name = f"{task.partitionId()}-{k}"
             path = f"{folder}/{name}-{task.taskAttemptId()}"
             block.save(path)
-            keys, counts = keys_of(block)
-            edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-            for s in range(1 << bits):
-                at = slice(edges[s], edges[s + 1])
-                # also where there are none: an answer of every shard tells that a block is whole
-                yield pa.RecordBatch.from_pydict({"block": [name], "path": [path], "shard": pa.array([s], pa.int32()), "keys": [squeeze_sorted(keys[at])], "counts": [squeeze(counts[at].astype(np.uint32))]})
+            yield asked(name, path, *keys_of(block), bits)
 
     return docs.mapInArrow(run, REQUEST)
 
