@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quay.functions import codecs, local, paths
 from quay.operators import inventory, pack, restore, roots, verify
+from quay.operators.staged import staged
 from quay.plans import detect, migrate
 from quay.sources import appdb
 
@@ -141,7 +142,7 @@ def block_parts(spark, sf_dir):
 
 
 def located(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    blocks, parts = pack.layout(package_files(spark, sf_dir), BLOCK)
+    blocks, parts = map(staged, pack.layout(package_files(spark, sf_dir), BLOCK))
     return blocks, parts, pack.volumes(blocks, parts, volume_size=VOLUME, reserve=RESERVE)
 
 

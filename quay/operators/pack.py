@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quay.functions import fixed
 from quay.operators import ordered
+from quay.operators.staged import staged
 
 
 def dedup(files: DataFrame) -> DataFrame:
@@ -48,14 +49,15 @@ def layout(files: DataFrame, block: int = fixed.BLOCK_SIZE) -> tuple[DataFrame,
 
     Blocks are numbered as they fill: a stored block with its file, a solid one with the file that fills it, the last solid one at the end.
     """
-    solid, stored = solid_parts(files, block), stored_parts(files, block)
+    files = staged(files.select("seq", "size", "compressible", "dup", "original"))  # what follows reads it several times
+    solid, stored = staged(solid_parts(files, block)), staged(stored_parts(files, block))
     filled = solid.groupBy("solid").agg(F.max("seq").alias("seq"), F.sum("len").alias("raw"))
     end = files.agg((F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("_end"))
     solid_blocks = filled.withColumn("_one", F.lit(1)).join(F.broadcast(end.withColumn("_one", F.lit(1))), "_one").select(
         F.lit("solid").alias("kind"), F.when(F.col("raw") < block, F.col("_end")).otherwise(F.col("seq")).alias("seq"), F.col("solid").alias("k"), F.lit(None).cast("long").alias("file"), "raw"
     )
     stored_blocks = stored.select(F.lit("stored").alias("kind"), "seq", "k", F.col("seq").alias("file"), F.col("len").alias("raw"))
-    both = ordered.numbered(solid_blocks.unionByName(stored_blocks), "block_id", ties=("kind", "k"))
+    both = staged(ordered.numbered(solid_blocks.unionByName(stored_blocks), "block_id", ties=("kind", "k")))
     blocks = both.select("block_id", "kind", "raw")
     solid_ids = both.where("kind = 'solid'").select(F.col("k").alias("solid"), "block_id")
     stored_ids = both.where("kind = 'stored'").select(F.col("file").alias("seq"), "k", "block_id")
