@@ -229,8 +229,8 @@ def may_link(other: str) -> Column:
     return F.expr(f"9 * (n - pos) >= 4 * (n + n_{other}) and 9 * (n_{other} - pos_{other}) >= 4 * (n + n_{other})")
 
 
-def heavy_links(reps: DataFrame, bound: int, links: DataFrame) -> DataFrame:
-    """``links`` and all links that the lists add between what would be different components."""
+def joined_components(reps: DataFrame, bound: int, links: DataFrame) -> DataFrame:
+    """Components (u, label) by ``links`` and all links that the lists add between what would be different components."""
     posted = reps.where(5 * F.col("n") > 4 * bound).select(F.explode("prefix").alias("x"), "cid", "n").select("x.key", "cid", "n", "x.pos")
     longer = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cid", "n", "pos")).alias("f")).where("size > 1").select("key", F.col("f.cid").alias("p"), F.col("f.n").alias("n_p"), F.col("f.pos").alias("pos_p"))
     lists = shared.stored(posted.join(longer, "key"), "lists")
@@ -239,13 +239,14 @@ def heavy_links(reps: DataFrame, bound: int, links: DataFrame) -> DataFrame:
     left = lists.where("cid <> p").select("key", "cid", "n", "pos")
     take = 8
     while True:
-        links = shared.stored(links.unionByName(compared(pairs, reps)), "links")
-        labels = graph.components(links)
+        # the stars so far stand for all links so far
+        labels = graph.components(links.unionByName(compared(pairs, reps)))
+        links = labels.withColumnRenamed("label", "v")
         named = left.join(labels.withColumnRenamed("u", "cid"), "cid", "left").select("key", "cid", "n", "pos", F.coalesce("label", "cid").alias("label"))
         still = named.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("key")
         left = shared.stored(named.join(still, "key", "left_semi"), "left")
         if left.isEmpty():
-            return links
+            return labels
         # pivots: from the list's smallest components first; best of each salt, then of the list
         ranked = left.join(left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")), ["key", "label"])
         salt = F.pmod(F.xxhash64("cid"), F.lit(32))
@@ -273,8 +274,7 @@ def classes(docs: DataFrame) -> DataFrame:
     replies = keycounts.answers(asked(firsts, shared.scratch(spark, "classes"), bits))
     reps = shared.stored(keycounts.per_block(replies, described, SET_SCHEMA), "sets")
     bound = boundary(reps)
-    links = heavy_links(reps, bound, light_links(reps, bound))
-    labels = graph.components(links).withColumnRenamed("u", "cid")
+    labels = joined_components(reps, bound, light_links(reps, bound)).withColumnRenamed("u", "cid")
     named = found.select("doc_id", "n", "hi", "lo").join(firsts.select("hi", "lo", "cid"), ["hi", "lo"], "left").join(labels, "cid", "left")
     null = lambda c: F.when(c != NO_ID, c)
     own = F.when(F.col("n") > 0, F.coalesce("label", "cid")).otherwise(F.col("doc_id"))
