@@ -115,7 +115,7 @@ def asked(reps: DataFrame, folder: str, bits: int) -> DataFrame:
         block.save(path)
         return pa.Table.from_batches([keycounts.asked(name, path, *request(block), bits)])
 
-    return reps.select("block", "path", "pos").groupBy("block").applyInArrow(run, keycounts.REQUEST)
+    return keycounts.dealt(reps.select("block", "path", "pos"), "block").groupBy("block").applyInArrow(run, keycounts.REQUEST)
 
 
 def request(block: keycounts.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +221,7 @@ def compared(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     sets_u = reps.join(partners, F.col("cid") == F.col("of")).select(F.col("cid").alias("u"), F.col("common").alias("common_u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).select(bucket, "u", "common_u")
     salted = pairs.join(partners.select(F.col("of").alias("u"), "copies"), "u").select("u", "v", "n_u", "n_v", F.pmod(F.xxhash64("v"), F.col("copies")).alias("copy"))
     met = salted.join(sets_v, "v").select(bucket, "u", "v", "n_u", "n_v", "common_v")
-    return met.groupBy("bucket").cogroup(sets_u.groupBy("bucket")).applyInArrow(run, "u long, v long")
+    return keycounts.dealt(met, "bucket").groupBy("bucket").cogroup(keycounts.dealt(sets_u, "bucket").groupBy("bucket")).applyInArrow(run, "u long, v long")
 
 
 def may_link(other: str) -> Column:

@@ -171,8 +171,13 @@ def _answer(table: pa.Table) -> pa.Table:
     })
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Dealt by a key into as many partitions as the session shuffles into: a row here stands for much work, so few bytes must not end up in few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def answers(asked: DataFrame) -> DataFrame:
-    return asked.groupBy("shard").applyInArrow(_answer, ANSWER)
+    return dealt(asked, "shard").groupBy("shard").applyInArrow(_answer, ANSWER)
 
 
 def per_block(answered: DataFrame, use, schema: str) -> DataFrame:
@@ -182,7 +187,7 @@ def per_block(answered: DataFrame, use, schema: str) -> DataFrame:
         parts = sorted(zip(table.column("shard").to_pylist(), table.column("counts").to_pylist(), strict=True))
         return use(Block.load(table.column("path")[0].as_py()), np.concatenate([spread(x, np.uint64) for _, x in parts]))
 
-    return answered.select("block", "path", "shard", "counts").groupBy("block").applyInArrow(run, schema)
+    return dealt(answered.select("block", "path", "shard", "counts"), "block").groupBy("block").applyInArrow(run, schema)
 
 
 def picked(docs: DataFrame, flag) -> DataFrame:
