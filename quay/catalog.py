@@ -157,7 +157,7 @@ def volume_summary(spark, sf_dir):
 
 def needed_volumes(spark, sf_dir):
     _, parts, where = located(spark, sf_dir)
-    return pack.needed_volumes(parts, where, files(spark, sf_dir).where("seq < 20").select("seq"))
+    return pack.needed_volumes(parts, where, files(spark, sf_dir).where(F.startswith("path", F.lit("/home/u/Documents/Photos/"))).select("seq"))
 
 
 def placed_files(spark, sf_dir):
@@ -329,8 +329,9 @@ def install_plan(spark, sf_dir):
 
 
 def config_plan(spark, sf_dir):
-    copies = table(spark, sf_dir, "events").where("event_id < 8").select(F.col("event_id").alias("ord"))
-    one = db(spark).locations.where("os = 'windows'").select("app_id", "key").crossJoin(F.broadcast(copies)).select("app_id", "ord", "key", F.when(F.col("ord") % 3 == 0, "flatpak").when(F.col("ord") % 3 == 1, "").otherwise("snap").alias("variant"))
+    # each location in three copies, as from three builds of the application
+    copies = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("ord"), F.lit(v).alias("variant")) for i, v in enumerate(("flatpak", "", "snap"))]))
+    one = db(spark).locations.where("os = 'windows'").select("app_id", "key", copies.alias("c")).select("app_id", "c.ord", "key", "c.variant")
     return migrate.config_plan(manifest(spark, sf_dir), one, db(spark), target(spark), "windows")
 
 

@@ -168,7 +168,7 @@ def sql() -> dict[str, str]:
         "block_parts": f"{package} SELECT * FROM parts",
         "volume_fold": f"{volumes} SELECT * FROM located",
         "volume_summary": f"{volumes} SELECT volume, count(*) AS blocks, CAST(sum(raw) AS BIGINT) AS raw, CAST(sum(raw + {fixed.BLOCK_HEAD}) + {fixed.VOLUME_HEAD} AS BIGINT) AS bytes FROM located JOIN blocks USING (block_id) GROUP BY volume",
-        "needed_volumes": f"{volumes} SELECT DISTINCT volume FROM located JOIN parts USING (block_id) WHERE seq < 20",
+        "needed_volumes": f"{volumes} SELECT DISTINCT volume FROM located JOIN parts USING (block_id) JOIN files USING (seq) WHERE starts_with(path, '/home/u/Documents/Photos/')",
         "placed_files": f"""{volumes}, p AS (SELECT seq, sum(len) AS len, bool_and(volume IS NOT NULL) AS inside FROM parts LEFT JOIN (SELECT * FROM located WHERE volume <> 2) USING (block_id) GROUP BY seq)
             SELECT files.seq, size, size = 0 OR coalesce(inside AND len = size, false) AS placed FROM files LEFT JOIN p USING (seq)""",
         "volume_index": f"{volumes} SELECT DISTINCT volume, seq FROM located JOIN parts USING (block_id)",
@@ -184,7 +184,7 @@ def sql() -> dict[str, str]:
         "found_apps": f"{matched} SELECT machine, app_id, arg_min(version, seq) FILTER (version IS NOT NULL) AS version, string_agg(via || ':' || package, ',' ORDER BY seq) AS sources FROM matched WHERE app_id IS NOT NULL GROUP BY machine, app_id",
         "install_plan": f"""{plan} SELECT app_id, bucket, CASE WHEN stands_in THEN q ELSE app_id END AS target_id, CASE WHEN stands_in THEN q_via ELSE own_via END AS via, CASE WHEN stands_in THEN q_m ELSE own_m END AS manager, CASE WHEN stands_in THEN q_p ELSE own_p END AS package,
             CASE WHEN bucket = 'no_source' THEN needs END AS needs, stands_in, CASE WHEN bucket = 'missing' THEN 'not in this database' END AS reason FROM plan""",
-        "config_plan": f"""{plan}, c AS (SELECT app_id, event_id AS ord, key, CASE event_id % 3 WHEN 0 THEN 'flatpak' WHEN 1 THEN '' ELSE 'snap' END AS variant FROM spots, events WHERE os = 'windows' AND event_id < 8),
+        "config_plan": f"""{plan}, c AS (SELECT app_id, CAST(v.ord AS BIGINT) AS ord, key, variant FROM spots, (VALUES (0, 'flatpak'), (1, ''), (2, 'snap')) AS v(ord, variant) WHERE os = 'windows'),
             j AS (SELECT c.*, apps.is_on, portability, s.path, CASE WHEN here.via = 'flatpak' THEN 'flatpak' ELSE '' END AS want, here.via IS NULL AND (p.bucket IS NULL OR p.bucket <> 'install' OR p.stands_in) AS absent FROM c LEFT JOIN apps USING (app_id) LEFT JOIN spots s ON s.app_id = c.app_id AND s.key = c.key AND s.os = 'linux' LEFT JOIN here ON here.app_id = c.app_id LEFT JOIN plan p ON p.app_id = c.app_id),
             w AS (SELECT *, CASE WHEN is_on IS NULL THEN 'not in this database' WHEN NOT is_on THEN 'the application has no version for this platform' WHEN path IS NULL THEN 'no location for this configuration on this platform' WHEN portability = 'translatable' THEN 'the configuration needs translating between platforms, which is not done'
               WHEN portability = 'untranslatable' THEN 'the configuration is bound to the platform it came from' WHEN portability <> 'identical' THEN 'the configuration does not travel between platforms' WHEN absent THEN 'the application is not installed here and is not being installed' END AS why FROM j),
