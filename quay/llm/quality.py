@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quay.llm import columns
 
 #: Labelled rows to learn from: those with the least hash of doc_id, at most so many.
-MAX_TRAIN = 3000
+MAX_TRAIN = 1500
 BUCKET_BITS = 18
 SIZES = (3, 4)
 SCHEMA = "doc_id long, score double"
@@ -65,25 +65,33 @@ class Model:
     bias: float
 
 
-def fit(texts: list[str], labels: list[int], *, dims: int = 8, epochs: int = 6, rate: float = 1.0, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[int], *, dims: int = 8, epochs: int = 4, rate: float = 1.0, seed: int = 7) -> Model:
     """Learn vectors and output by stochastic gradient descent, one document at a time."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dims, 1 / dims, (1 << BUCKET_BITS, dims)).astype(np.float32)
     out, bias = np.zeros((dims, 2), np.float32), np.zeros(2, np.float32)
-    rows = []
-    for text, label in zip(texts, labels, strict=True):
+    # one array for all documents' features, filled chunk by chunk: many small arrays would keep much more memory
+    parts, held, sizes = [], [], []
+    for text in texts:
         words, counts = np.unique(np.array(text.split(), object), return_counts=True) if text.split() else ([], np.zeros(0, np.int64))
         if len(words):
             feature, owner = word_features(list(words))
             ids, which = np.unique(feature, return_inverse=True)
             share = np.bincount(which, counts[owner].astype(np.float64)).astype(np.float32)
-            rows.append((ids, share / share.sum(), label))
-        else:
-            rows.append((np.zeros(0, np.int64), np.zeros(0, np.float32), label))
-    steps, step = max(1, epochs * len(rows)), 0
+            held.append((ids.astype(np.int32), share / share.sum()))
+        sizes.append(len(held[-1][0]) if len(words) else 0)
+        if len(held) == 64:
+            parts.append(tuple(map(np.concatenate, zip(*held, strict=True))))
+            held = []
+    parts += [tuple(map(np.concatenate, zip(*held, strict=True)))] if held else []
+    all_ids, all_shares = (np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, kind) for k, kind in ((0, np.int32), (1, np.float32)))
+    del parts, held
+    edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+    steps, step = max(1, epochs * len(texts)), 0
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            ids, share, label = rows[i]
+        for i in rng.permutation(len(texts)):
+            span, label = slice(edges[i], edges[i + 1]), labels[i]
+            ids, share = all_ids[span], all_shares[span]
             now = rate * (1 - step / steps)
             step += 1
             part = vectors[ids]
