@@ -59,6 +59,12 @@ def applications(matched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def by_category(apps: DataFrame, db: AppDb) -> DataFrame:
+    """Applications (app_id) by category: their number and names in order. A category has as many names as the database has entries of it."""
+    named = apps.select("app_id").distinct().join(db.apps.select("app_id", "name", "category"), "app_id")
+    return named.groupBy("category").agg(F.count(F.lit(1)).alias("apps"), F.sort_array(F.collect_list("name")).alias("names"))
+
+
 def resolve(spots: DataFrame, *, home: str, env: dict[str, str] | None = None) -> DataFrame:
     """Adds ``abs`` to (os, variant, sandbox, path): where a database path lies here, null where it can't be told."""
     rows = [(o, v, p, t) for o, v, p, t in fixed.PREFIXES]

@@ -138,6 +138,13 @@ def config_plan(manifest: DataFrame, configs: DataFrame, db: AppDb, target: Targ
     )
 
 
+def placed_roots(plan: DataFrame) -> DataFrame:
+    """(root, root_path) of every configuration location that is placed: what a restore adds to the target's roots."""
+    from quay.functions import paths
+
+    return plan.where("action = 'place'").select(paths.app_root(F.col("app_id"), F.col("key"), F.col("variant")).alias("root"), F.col("dest").alias("root_path"))
+
+
 #: Commands by manager, before the packages; what runs first; which take one package at a time.
 COMMANDS = {
     "pacman": "pacman -Syu --needed --noconfirm", "aur": "{helper} -S --needed --noconfirm", "apt": "apt-get install -y", "dnf": "dnf install -y",

@@ -78,6 +78,9 @@ def test_plan(spark, db):
     configs = spark.createDataFrame([("firefox", 0, "profiles", "", False), ("firefox", 1, "profiles", "flatpak", False), ("git", 0, "gitconfig", "", True), ("notepad-plus-plus", 0, "config", "", False)], "app_id string, ord long, key string, variant string, file boolean")
     placed = {(r.app_id, r.ord): (r.action, r.dest) for r in migrate.config_plan(manifest, configs, db, target, "windows").collect()}
     assert placed == {("firefox", 0): ("place", "/home/u/.mozilla/firefox"), ("firefox", 1): ("aside", None), ("git", 0): ("aside", None), ("notepad-plus-plus", 0): ("aside", None)}
+    roots = migrate.placed_roots(migrate.config_plan(manifest, configs, db, target, "windows"))
+    assert rows(roots) == [("apps/firefox/profiles", "/home/u/.mozilla/firefox")]
+    assert rows(detect.by_category(manifest, db))[:2] == [("browser", 1, ["Firefox"]), ("editor", 2, ["Kate", "Notepad++"])]
     cmds = migrate.commands(migrate.items(migrate.decided(manifest, db, target), "install"), target).collect()
     assert [r.argv for r in cmds] == [["sudo", "pacman", "-Syu", "--needed", "--noconfirm", "firefox", "kate"]]
     one = spark.createDataFrame([(0, "snap", "code --classic"), (1, "snap", "b"), (2, "apt", "x")], "pos long, manager string, package string")
