@@ -3,7 +3,8 @@
 Seeds are what four patterns find: e-mail and IP addresses, card and phone numbers. The words beside an identifier are lexical patterns
 (the word to the left, to the right, both). Patterns and instances form a graph that is scored in rounds: a pattern's confidence for a
 kind is the mean score of its instances, an instance's score what its confident patterns say together. Instances are all words
-with a digit or an at sign, so a pattern that also stands beside other numbers stays weak. At the end, what stands beside a pattern of
+with a digit or an at sign, so a pattern that also stands beside other numbers stays weak; numbers that are written with blanks or
+brackets in them are one instance each. At the end, what stands beside a pattern of
 high confidence and has the kind's shape is personal data too, though no seed pattern matches it.
 
 The seed patterns are written so that matching is linear in the text (possessive, and starting where a run of characters starts), with
@@ -16,6 +17,8 @@ graph; a null doc_id is returned as null; an empty table gives no rows; other co
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,12 @@ PATTERNS = {
 }
 #: A word with a digit or an at sign.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Digits that belong to a run: not to a word with letters (but for an extension), a short date or time, or an address.
+_DIGITS = r"(?![0-9]{1,2}[/:][0-9])[0-9]++(?!(?!x[0-9])[\p{L}_])(?![^\s@]{0,64}+@)"
+#: A maximal run of digits with blanks, brackets, points and hyphens between them.
+RUN = rf"(?:(?<![0-9])[+(]|(?<![\p{{L}}0-9_@(+]))(?<![0-9][().:/-]){_DIGITS}(?:[ ().-]++{_DIGITS})*+"
+#: Beside other numbers in a run: four or more numbers with points, which are an address of their own.
+POINTED = r"(?:^|[ (])[0-9]++(?:\.[0-9]++){3,7}(?![.0-9-])"
 #: What is not part of a word at its edges.
 EDGES = ".,;:!?\"'()[]{}<>"
 #: Shapes that an unseen identifier of a kind may have.
@@ -80,19 +89,24 @@ def located(text: Column, pattern: str) -> Column:
     return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
 
 
+def worded(near: Column) -> Column:
+    """White space as blanks, and blanks for what between it is of ``EDGES`` alone."""
+    return F.regexp_replace(F.regexp_replace(near, r"\s", " "), rf"(?<![^ ])[{re.escape(EDGES)}]++(?![^ ])", " ")
+
+
 def neighbour(text: Column, start: Column, end: Column, left: bool) -> Column:
     """The word before or behind a span, in lower case and without its edges; empty where there is none."""
     if left:
         near = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, start - F.greatest(start - REACH, F.lit(0)))
-        word = F.element_at(F.split(F.rtrim(F.regexp_replace(near, r"\s", " ")), " "), -1)
+        word = F.element_at(F.split(F.rtrim(worded(near)), " "), -1)
     else:
         near = F.substring(text, end + 1, F.lit(REACH))
-        word = F.element_at(F.split(F.ltrim(F.regexp_replace(near, r"\s", " ")), " "), 1)
+        word = F.element_at(F.split(F.ltrim(worded(near)), " "), 1)
     return F.lower(F.btrim(word, F.lit(EDGES)))
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """One row per document: row, doc_id, base (spans with their kind's number) and seen: base spans and candidate words with neighbours."""
+    """One row per document: row, doc_id, base (spans with their kind's number) and seen: base spans and candidates (runs of digits, other words) with neighbours."""
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     none = F.array().cast("array<struct<start: int, end: int, value: string>>")
     text = F.col("text")
@@ -110,16 +124,30 @@ def found(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({k: passing(k) for k in KINDS})
     base = F.concat(*map(numbered, KINDS))
     rows = rows.withColumn("base", base).withColumn("words", F.when(at | digit, located(text, CANDIDATE)).otherwise(none))
+    # runs end where a base span begins
+    hidden = F.aggregate("base", text, lambda acc, b: F.concat(F.substring(acc, F.lit(1), b["start"]), F.repeat(F.lit("\n"), b["end"] - b["start"]), F.substring(acc, b["end"] + 1, F.length(acc))))
+    rows = rows.withColumn("_left", F.when(digit, F.when(F.size("base") > 0, hidden).otherwise(text)))
+
+    def run(w: Column) -> Column:
+        """The run without an opening bracket that only its surroundings close."""
+        lead = F.when(w["value"].startswith("(") & ~w["value"].contains(")"), 1).otherwise(0)
+        return F.struct(F.lit(-1).alias("kind"), (w["start"] + lead).alias("start"), w["end"].alias("end"), F.substring(w["value"], lead + 1, F.length(w["value"])).alias("value"))
+
+    def whole(w: Column) -> Column:
+        """Whether a run has the shape of one identifier; else its words are candidates."""
+        return (w["value"].rlike(SHAPES["phone"]) | w["value"].rlike(SHAPES["card"])) & ~(w["value"].contains(" ") & w["value"].rlike(POINTED))
+
+    rows = rows.withColumn("runs", F.filter(F.transform(F.when(digit, located(F.col("_left"), RUN)).otherwise(none), run), whole))
 
     def bare(w: Column) -> Column:
         lead = F.length(w["value"]) - F.length(F.ltrim(w["value"], F.lit(EDGES)))
         core = F.btrim(w["value"], F.lit(EDGES))
         return F.struct(F.lit(-1).alias("kind"), (w["start"] + lead).alias("start"), (w["start"] + lead + F.length(core)).alias("end"), core.alias("value"))
 
-    apart = lambda w: (w["value"] != "") & ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    every = F.concat("base", F.filter(F.transform("words", bare), apart))
+    apart = lambda w: (w["value"] != "") & ~F.exists(F.concat("base", "runs"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+    every = F.concat("base", "runs", F.filter(F.transform("words", bare), apart))
     beside = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), neighbour(text, x["start"], x["end"], True).alias("left"), neighbour(text, x["start"], x["end"], False).alias("right"))
-    rows = rows.withColumn("seen", F.when(F.size("words") + F.size("base") > 0, F.transform(every, beside)))
+    rows = rows.withColumn("seen", F.when(F.size("words") + F.size("base") + F.size("runs") > 0, F.transform(every, beside)))
     plain = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", plain.alias("base"), "seen")
 
