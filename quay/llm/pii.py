@@ -5,7 +5,8 @@ Seeds are what four patterns find: e-mail and IP addresses, card and phone numbe
 kind is the mean score of its instances, an instance's score what its confident patterns say together. Instances are all words
 with a digit or an at sign, so a pattern that also stands beside other numbers stays weak; numbers that are written with blanks or
 brackets in them are one instance each. At the end, what stands beside a pattern of
-high confidence and has the kind's shape is personal data too, though no seed pattern matches it.
+high confidence and has the kind's shape is personal data too, though no seed pattern matches it. What a round finds so
+supports further patterns in the next, as seeds do.
 
 The seed patterns are written so that matching is linear in the text (possessive, and starting where a run of characters starts), with
 the same matches as the plain forms. Spark gives no positions of matches, so they follow from the lengths of the matches and of the
@@ -159,6 +160,14 @@ def occurrences(table: DataFrame) -> DataFrame:
     return one.withColumn("pattern", F.explode(pattern)).where("not (pattern in ('L ', 'R ') or (pattern like 'B %' and (left = '' or right = '')))")
 
 
+def has_shape(value: str, kind: str) -> Column:
+    """Whether a column of values has the shape of the kind whose number another column holds."""
+    found = F.lit(False)
+    for i, k in enumerate(KINDS):
+        found = found | ((F.col(kind) == i) & F.col(value).rlike(SHAPES[k]))
+    return found
+
+
 def scored(edges: DataFrame, *, rounds: int, confident: float, support: int) -> DataFrame:
     """(pattern, kind, confidence) of the confident patterns. ``edges``: pattern, value, kind (-1: no seed), each once.
 
@@ -176,23 +185,23 @@ def scored(edges: DataFrame, *, rounds: int, confident: float, support: int) ->
             return patterns
         # a value's score: that not all its confident patterns are wrong
         value = fresh.join(patterns, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"))
-        known = seeds.unionByName(fresh.join(value, "value").select("pattern", "value", "kind", "score", F.lit(0).alias("seed")))
+        value = value.withColumn("seed", ((F.col("score") >= confident) & has_shape("value", "kind")).cast("int"))
+        both = seeds.unionByName(fresh.join(value, "value").select("pattern", "value", "kind", "score", "seed"))
+        # a value that is a seed in one place and none in another counts once
+        known = both.groupBy("pattern", "value", "kind").agg(F.max("score").alias("score"), F.max("seed").alias("seed"))
     raise ValueError("rounds must be at least 1")
 
 
 def extract(docs: DataFrame, *, rounds: int = 3, confident: float = 0.8, support: int = 5) -> DataFrame:
     """One row per document: doc_id, base and spans, arrays of (kind, start, end) in order of kind and start.
 
-    A pattern needs ``support`` different seeds beside it and a confidence of at least ``confident``.
+    A pattern needs ``support`` different seeds beside it, or from the second round on instances of so high a score, and a confidence of at least ``confident``.
     """
     table = shared.stored(found(docs), "spans")
     all_seen = shared.stored(occurrences(table), "seen")
     edges = all_seen.select("pattern", "value", "kind").distinct()
     patterns = scored(edges, rounds=rounds, confident=confident, support=support)
-    shaped = F.lit(False)
-    for i, k in enumerate(KINDS):
-        shaped = shaped | ((F.col("of") == i) & F.col("value").rlike(SHAPES[k]))
-    new = all_seen.where("kind < 0").join(patterns.withColumnRenamed("kind", "of"), "pattern").where(shaped)
+    new = all_seen.where("kind < 0").join(patterns.withColumnRenamed("kind", "of"), "pattern").where(has_shape("value", "of"))
     best = new.groupBy("row", "start", "end").agg(F.max(F.struct("confidence", (-F.col("of")).alias("minus"))).alias("best"))
     added = best.select("row", F.struct((-F.col("best.minus")).alias("kind"), "start", "end").alias("span")).groupBy("row").agg(F.collect_list("span").alias("added"))
     joined = table.select("row", "doc_id", "base").join(added, "row", "left")

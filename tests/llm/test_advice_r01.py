@@ -30,3 +30,11 @@ def test_identifiers_with_blanks_and_brackets(spark):
         "it was 020 7946 0022 apples": [],
     }
     assert dict(zip(cases, spans(spark, seen, list(cases)), strict=True)) == cases
+
+
+def test_instances_found_in_one_round_support_patterns_of_the_next(spark):
+    seen = [f"a{i} phone: +1 555 010 {1000 + i} b{i}" for i in range(150)] + [f"a{i} phone: 555-020-{1000 + i} b{i}" for i in range(30)]
+    seen += [f"c{i} Tel: 555-020-{1000 + i} d{i}" for i in range(30)] + [f"c{i} Tel: +1 555 010 {1000 + i} d{i}" for i in range(4)]
+    # beside "Size" stand values that follow "phone" too, but none has a phone's shape
+    seen += [f"e{i} phone: {i}k f{i}" for i in range(6)] + [f"g{i} Size: {i}k h{i}" for i in range(6)]
+    assert spans(spark, seen, ["please Tel: 555-010-7777 end", "please Size: 555-010-7778 end"]) == [["555-010-7777"], []]
