@@ -39,7 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Power-of-two sequences of at most 2048 token ids."""
-    return packing.pack(docs, TOKENIZER, longest=2048, end_id=1)
+    return packing.pack(docs, TOKENIZER, longest=2048, end_id=1, added=True)
 
 
 STAGES = [

@@ -34,11 +34,11 @@ def decompose(n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.tile(sizes, len(n)), digits.ravel()), digits.sum(1)
 
 
-def pack(docs: DataFrame, tokenizer: str, *, longest: int = 2048, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, longest: int = 2048, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text", added: bool = False) -> DataFrame:
     """One row per piece; ``ids`` holds its ids as little-endian unsigned 32-bit integers.
 
     Sequence ids need no shuffle: they join the bucket (so equal lengths are neighbours), the partition and a number.
-    ``longest`` must be a power of two.
+    ``longest`` must be a power of two; ``added`` as in ``TokenCache``.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -46,7 +46,7 @@ def pack(docs: DataFrame, tokenizer: str, *, longest: int = 2048, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, part, made = token_cache(tokenizer, end_id), TaskContext.get().partitionId(), 0
+        cache, part, made = token_cache(tokenizer, end_id, added), TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in columns.slices(batch, "text"):
                 ids, bounds = cache.encode(rows.column("text"))

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, longest=2048, end_id=1)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, longest=2048, end_id=1, added=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -35,7 +35,7 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    file = tokenfile.write(table(spark, sf_dir, "documents"), TOKENIZER, shared.scratch(spark, "tokens"), end_id=2)
+    file = tokenfile.write(table(spark, sf_dir, "documents"), TOKENIZER, shared.scratch(spark, "tokens"), end_id=2, added=True)
     return tokenfile.read(spark, file).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

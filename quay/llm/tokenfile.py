@@ -35,11 +35,12 @@ class TokenFile:
     width: int
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, vocabulary: int = 49408, partitions: int | None = None) -> TokenFile:
+def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, vocabulary: int = 49408, partitions: int | None = None, added: bool = False) -> TokenFile:
     """Write all documents in ascending doc_id order below ``path`` (a folder that all executors share).
 
     A shard's files carry the attempt's own name and only the manifest of the attempt that Spark accepted names them, so a lost or
     repeated task leaves no partial shard behind. The driver holds one manifest row for each shard.
+    ``added`` as in ``TokenCache``.
     """
     width = 2 if vocabulary <= 1 << 16 else 4
     spark = docs.sparkSession
@@ -52,7 +53,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, *, end_id: int = 2, vocabu
 
         task = TaskContext.get()
         name = f"{path}/shard-{task.partitionId():06d}-{task.taskAttemptId()}"
-        cache, ends, ids_out, total = token_cache(tokenizer, end_id), [np.zeros(1, np.int64)], [], 0
+        cache, ends, ids_out, total = token_cache(tokenizer, end_id, added), [np.zeros(1, np.int64)], [], 0
         out = None
         for batch in batches:
             for rows in columns.slices(batch, "text"):

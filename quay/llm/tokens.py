@@ -2,7 +2,8 @@
 
 The tokenizer drops white space and never merges across it, nor from an ASCII letter into ASCII punctuation
 (other than the apostrophe), so the ids of a text are those of its pieces between such places. Each distinct piece is
-encoded by the library once; two generations of a dictionary bound what a worker remembers.
+encoded by the library once; two generations of a dictionary bound what a worker remembers. Texts that hold the string of an added
+token (rare) are encoded whole by the library where such strings are to be those tokens.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from quay.llm import columns
 
@@ -35,14 +37,18 @@ def piece_classes() -> np.ndarray:
 
 
 class TokenCache:
-    """Encodes Arrow string columns with one tokenizer file."""
+    """Encodes Arrow string columns with one tokenizer file.
 
-    def __init__(self, path: str, end_id: int, size: int = CACHE_PIECES):
+    With ``added`` the strings of added tokens in a text are those tokens, as the library has it by default; else they are ordinary text.
+    """
+
+    def __init__(self, path: str, end_id: int, size: int = CACHE_PIECES, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        self.added = list(self.tokenizer.get_added_tokens_decoder().values()) if added else []
         self.end_id, self.size, self.young, self.old = end_id, size, {}, {}
         self.classes = piece_classes()
 
@@ -79,8 +85,26 @@ class TokenCache:
             self.old, self.young = young, {}
         return got
 
+    def _holding(self, column: pa.Array) -> np.ndarray:
+        """Places of the texts that hold the string of an added token."""
+        normal, found = None, np.zeros(len(column), bool)
+        for token in self.added:
+            content, texts = token.content, column
+            if token.normalized and self.tokenizer.normalizer:
+                change = self.tokenizer.normalizer.normalize_str
+                normal = pa.array([change(t or "") for t in column.to_pylist()]) if normal is None else normal
+                content, texts = change(content), normal
+            found |= pc.fill_null(pc.match_substring(texts, content), False).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(found)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end id behind each document, and the documents' bounds."""
+        whole = self._holding(column)
+        if len(whole):
+            texts = column.take(pa.array(whole)).to_pylist()
+            mask = np.zeros(len(column), bool)
+            mask[whole] = True
+            column = pc.if_else(pa.array(mask), pa.scalar("", column.type), column)
         words = columns.split(column, self.classes)
         known = self.ids_of(words.vocab.to_pylist())
         lengths = np.fromiter(map(len, known), np.int32, len(known)) >> 2
@@ -90,15 +114,21 @@ class TokenCache:
         out_len = columns.sums(per_word, words.bounds).astype(np.int64)
         body = flat[columns.ranges(starts[words.index], per_word)]
         ends = np.cumsum(out_len)
+        if len(whole):
+            extra = [np.frombuffer(x, np.uint32) for x in self._encode(texts)]
+            sizes = np.array(list(map(len, extra)))
+            body = np.insert(body, np.repeat(ends[whole], sizes), np.concatenate(extra))
+            out_len[whole] = sizes
+            ends = np.cumsum(out_len)
         return np.insert(body, ends, self.end_id), np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
 
 
 _CACHES: dict[tuple, TokenCache] = {}
 
 
-def token_cache(path: str, end_id: int) -> TokenCache:
+def token_cache(path: str, end_id: int, added: bool = False) -> TokenCache:
     """The worker's cache for this tokenizer; workers are reused between tasks."""
-    if (path, end_id) not in _CACHES:
+    if (path, end_id, added) not in _CACHES:
         _CACHES.clear()
-        _CACHES[path, end_id] = TokenCache(path, end_id)
-    return _CACHES[path, end_id]
+        _CACHES[path, end_id, added] = TokenCache(path, end_id, added=added)
+    return _CACHES[path, end_id, added]

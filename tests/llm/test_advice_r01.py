@@ -1,6 +1,12 @@
 """What the review of round 1 found missing."""
 
-from quay.llm import pii
+import zlib
+
+import corpus_pipeline
+import numpy as np
+from pyspark.sql import functions as F
+from quay.llm import pii, queries
+from tokenizers import Tokenizer
 
 
 def frame(spark, texts):
@@ -38,3 +44,22 @@ def test_instances_found_in_one_round_support_patterns_of_the_next(spark):
     # beside "Size" stand values that follow "phone" too, but none has a phone's shape
     seen += [f"e{i} phone: {i}k f{i}" for i in range(6)] + [f"g{i} Size: {i}k h{i}" for i in range(6)]
     assert spans(spark, seen, ["please Tel: 555-010-7777 end", "please Size: 555-010-7778 end"]) == [["555-010-7777"], []]
+
+
+SPECIAL = ["hello <|endoftext|> x", "plain text", None, "<|startoftext|>", "", "a<|endoftext|>b <|ENDOFTEXT|>\n<|endoftext|> it's", "end"]
+
+
+def library(text, end):
+    return [*Tokenizer.from_file(queries.TOKENIZER).encode(text or "", add_special_tokens=False).ids, end]
+
+
+def test_strings_of_added_tokens_are_encoded_as_by_the_library(spark, tmp_path):
+    df = frame(spark, SPECIAL).withColumns({"lang": F.lit("en"), "source": F.lit("x"), "n_chars": F.lit(1)})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    crc = {d: zlib.crc32(np.array(library(t, 2), "<u4").tobytes()) for d, t in enumerate(SPECIAL)}
+    got = queries.op8_token_file(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert {r.doc_id: r.ids_crc32 for r in got} == crc
+    assert [r.start for r in got] == np.cumsum([0, *[len(library(t, 2)) for t in SPECIAL[:-1]]]).tolist()
+    assert {r.doc_id: r.doc_tokens for r in queries.op1_packing(spark, str(tmp_path)).collect()} == {d: len(library(t, 1)) for d, t in enumerate(SPECIAL)}
+    packed = corpus_pipeline.packing_stage(spark, df, str(tmp_path)).orderBy("doc_id", "start").collect()
+    assert {d: np.frombuffer(b"".join(r.ids for r in packed if r.doc_id == d), "<u4").tolist() for d in range(len(SPECIAL))} == {d: library(t, 1) for d, t in enumerate(SPECIAL)}
