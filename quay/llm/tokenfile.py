@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,7 +104,7 @@ def _read_shard(path: str, base: int, width: int) -> Iterator[pa.RecordBatch]:
     fs, at = shared.filesystem(path)
 
     def mapped(kind: str, dtype: str) -> np.ndarray:
-        if hasattr(fs, "open_input_file") and path.startswith("file:"):
+        if isinstance(fs, LocalFileSystem):
             return np.memmap(at + kind, dtype, "r")
         with fs.open_input_file(at + kind) as f:  # a store without local files
             return np.frombuffer(f.read_buffer(), dtype)

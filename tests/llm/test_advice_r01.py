@@ -5,7 +5,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
-from quay.llm import pii, queries
+from quay.llm import pii, queries, tokenfile
 from tokenizers import Tokenizer
 
 
@@ -63,3 +63,14 @@ def test_strings_of_added_tokens_are_encoded_as_by_the_library(spark, tmp_path):
     assert {r.doc_id: r.doc_tokens for r in queries.op1_packing(spark, str(tmp_path)).collect()} == {d: len(library(t, 1)) for d, t in enumerate(SPECIAL)}
     packed = corpus_pipeline.packing_stage(spark, df, str(tmp_path)).orderBy("doc_id", "start").collect()
     assert {d: np.frombuffer(b"".join(r.ids for r in packed if r.doc_id == d), "<u4").tolist() for d in range(len(SPECIAL))} == {d: library(t, 1) for d, t in enumerate(SPECIAL)}
+
+
+def test_plain_paths_are_memory_mapped(tmp_path, monkeypatch):
+    for kind, x in ((".bin", np.array([5, 6, 2, 2], "<u2")), (".off", np.array([0, 3, 4], "<u8")), (".doc", np.array([1, 7], "<i8"))):
+        (tmp_path / f"shard{kind}").write_bytes(x.tobytes())
+    real, mapped = np.memmap, []
+    monkeypatch.setattr(np, "memmap", lambda path, *a, **k: mapped.append(path) or real(path, *a, **k))
+    for path in (f"{tmp_path}/shard", f"file://{tmp_path}/shard"):
+        (batch,) = tokenfile._read_shard(path, 10, 2)
+        assert batch.column("doc_id").to_pylist() == [1, 7] and batch.column("start").to_pylist() == [10, 13]
+    assert mapped == [f"{tmp_path}/shard{k}" for k in (".bin", ".off", ".doc")] * 2
