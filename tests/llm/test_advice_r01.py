@@ -1,11 +1,15 @@
 """What the review of round 1 found missing."""
 
+import collections
+import functools
+import math
+import random
 import zlib
 
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
-from quay.llm import pii, queries, tokenfile
+from quay.llm import keycounts, lm, pii, queries, tokenfile
 from tokenizers import Tokenizer
 
 
@@ -74,3 +78,28 @@ def test_plain_paths_are_memory_mapped(tmp_path, monkeypatch):
         (batch,) = tokenfile._read_shard(path, 10, 2)
         assert batch.column("doc_id").to_pylist() == [1, 7] and batch.column("start").to_pylist() == [10, 13]
     assert mapped == [f"{tmp_path}/shard{k}" for k in (".bin", ".off", ".doc")] * 2
+
+
+def test_language_model_of_order_three(spark, monkeypatch):
+    monkeypatch.setattr(keycounts, "BLOCK_WORDS", 50)
+    rng = random.Random(3)
+    texts = ["", None, "a", *(" ".join(rng.choice("abcde") if rng.random() < 0.9 else f"r{rng.randrange(50)}" for _ in range(rng.randrange(40))) for _ in range(60))]
+    words = [["\0begin", *(t or "").split(), "\0end"] for t in texts]
+    c, left, n, kinds = collections.Counter(), collections.Counter(), 0, set()
+    for d, x in enumerate(words):
+        if d % 3 != 1:
+            n, kinds = n + len(x) - 1, kinds | set(x[1:])
+            for i in range(1, len(x)):
+                for k in range(min(i, 2) + 1):
+                    c[tuple(x[i - k : i + 1])] += 1
+                    left[tuple(x[i - k : i])] += 1
+
+    @functools.cache
+    def p(u, w):
+        return (c[(*u, w)] + lm.PRIOR * p(u[1:], w)) / (left[u] + lm.PRIOR) if u else (c[(w,)] + 1) / (n + len(kinds) + 1)
+
+    want = [round(sum(math.log10(p(tuple(x[max(0, i - 2) : i]), x[i])) for i in range(1, len(x))), 6) for x in words]
+    got = lm.lm_scores(frame(spark, texts), F.col("doc_id") % 3 == 1, order=3).orderBy("doc_id").collect()
+    assert [round(r.score, 6) for r in got] == want
+    for u in (("a", "b"), ("\0begin", "a"), ("never", "seen")):
+        assert abs(sum(p(u, w) for w in kinds) + p(u, "unknown") - 1) < 1e-9
