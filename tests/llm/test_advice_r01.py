@@ -9,7 +9,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
-from quay.llm import keycounts, lm, pii, queries, tokenfile
+from quay.llm import keycounts, lm, pii, quality, queries, tokenfile
 from tokenizers import Tokenizer
 
 
@@ -103,3 +103,9 @@ def test_language_model_of_order_three(spark, monkeypatch):
     assert [round(r.score, 6) for r in got] == want
     for u in (("a", "b"), ("\0begin", "a"), ("never", "seen")):
         assert abs(sum(p(u, w) for w in kinds) + p(u, "unknown") - 1) < 1e-9
+
+
+def test_quality_learns_in_six_passes():
+    texts, labels = ["a good river stone", "BAD!! noise", "green river walks", "noise BAD"] * 3, [1, 0, 1, 0] * 3
+    got, six = quality.fit(texts, labels), quality.fit(texts, labels, epochs=6)
+    assert got.bias == six.bias and (got.weight == six.weight).all()
