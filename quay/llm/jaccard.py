@@ -10,9 +10,9 @@ start. The classes are split by size:
 
 The boundary is the size up to which enumeration costs less than the lists, both counted over the data.
 
-A list is not turned into all its pairs. Rounds take pivots from every list and compare each with those of its list that are not yet in the
-pivot's component; a list closes when all that is left of it is one component, so every link between different components
-is found, however long the list. Comparing uses the exact shared shingles.
+A list is not turned into all its pairs. Rounds take pivots from every list, from its largest component first, and compare each with those of
+its list that are in other components; a list closes when all that is left of it is one component, so every link between
+different components is found, however long the list. Comparing uses the exact shared shingles.
 
 Defined cases: null or empty text and text of white space only have an empty set and link with nothing; texts of fewer than five words are one
 shingle; rows with one doc_id are one document whose links are joined; a null doc_id counts as the least 64-bit integer and is
@@ -38,6 +38,12 @@ NO_ID = -(2**63)
 MOST_LIGHT = 15
 #: Shingles of all sets that are compared in one group, about: some 8 MB.
 BUCKET_SHINGLES = 1_500_000
+#: Pairs of a list that one task looks at, about.
+LOOKS = 1_000_000
+#: Members of subsets that are listed at a time.
+SUBSETS = 1_000_000
+#: Words of a block: its shingles are twice as wide as words, and sorted.
+BLOCK_WORDS = 1_000_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -86,7 +92,7 @@ def signed(docs: DataFrame, folder: str) -> DataFrame:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        for k, block in enumerate(keycounts.blocks(batches)):
+        for k, block in enumerate(keycounts.blocks(batches, BLOCK_WORDS)):
             name = f"{task.partitionId()}-{k}"
             path = f"{folder}/{name}-{task.taskAttemptId()}"
             block.save(path)
@@ -124,7 +130,19 @@ def request(block: keycounts.Block) -> tuple[np.ndarray, np.ndarray]:
     return upper, np.bincount(at[member], minlength=len(upper))
 
 
-SET_SCHEMA = "cid long, n long, prefix array<struct<key: long, pos: long>>, cost long, common binary"
+#: Words of 64 bits in a set's parity bitmap.
+BITMAP = 8
+BITS = [f"b{i}" for i in range(BITMAP)]
+SET_SCHEMA = f"cid long, n long, {', '.join(f'{b} long' for b in BITS)}, prefix array<struct<key: long, pos: long>>, cost long, common binary"
+
+
+def parities(keys: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """A row of BITMAP words for each set: the bit that a shingle's key names is flipped once for each shingle. Two sets differ in at least as many shingles
+    as their bitmaps in bits."""
+    flat = np.zeros(docs * BITMAP, np.uint64)
+    slot = keys & np.uint64(64 * BITMAP - 1)
+    np.bitwise_xor.at(flat, doc * BITMAP + (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+    return flat.view(np.int64).reshape(docs, BITMAP)
 
 
 def described(block: keycounts.Block, counts: np.ndarray) -> pa.Table:
@@ -149,8 +167,9 @@ def described(block: keycounts.Block, counts: np.ndarray) -> pa.Table:
     full = np.diff(edges) > 0
     common = [keycounts.squeeze_sorted(keys[what[a:b]]) for a, b in zip(edges[:-1][full].tolist(), edges[1:][full].tolist(), strict=True)]
     ids = np.where(block.null_ids.astype(bool), NO_ID, block.ids)
+    bits = parities(keys[member], doc, len(n))
     out = pa.Table.from_pydict({
-        "cid": pa.array(ids), "n": pa.array(n), "prefix": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spots), "cost": pa.array(columns.sums(df[what[first]], cuts)),
+        "cid": pa.array(ids), "n": pa.array(n), **{b: pa.array(np.ascontiguousarray(bits[:, i])) for i, b in enumerate(BITS)}, "prefix": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spots), "cost": pa.array(columns.sums(df[what[first]], cuts)),
     })
     return out.filter(pa.array(full)).append_column("common", pa.array(common, pa.binary()))
 
@@ -174,19 +193,28 @@ def boundary(reps: DataFrame) -> int:
     return best
 
 
+def subsets(cid: np.ndarray, n: int, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All subsets that a partner may share of sets of one size, a row of ``keys`` each: (subset, c, cid, n), a bounded number at a time."""
+    for c in range(least_overlap(n), min(n, keys.shape[1]) + 1):
+        chosen = np.array(list(combinations(range(keys.shape[1]), c)))
+        step = max(1, SUBSETS // chosen.size)
+        for at in range(0, len(cid), step):
+            code = columns.mixed(columns.mixed(keys[at : at + step])[:, chosen].sum(axis=2, dtype=np.uint64).ravel()).view(np.int64)
+            owner = np.repeat(cid[at : at + step], len(chosen))
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.full(len(code), c, np.int64)), pa.array(owner), pa.array(np.full(len(code), n, np.int64))], ["subset", "c", "cid", "n"])
+
+
 def light_links(reps: DataFrame, bound: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for r in batch.to_pylist():
-                keys = keycounts.spread_sorted(r["common"])
-                for c in range(least_overlap(r["n"]), min(r["n"], len(keys)) + 1):
-                    for chosen in combinations(range(len(keys)), c):
-                        out[0].append(int(columns.mixed(np.array([columns.mixed(keys[list(chosen)]).sum()], np.uint64))[0].view(np.int64)))
-                        out[1].append(c)
-                        out[2].append(r["cid"])
-                        out[3].append(r["n"])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["subset", "c", "cid", "n"])
+            alike: dict[tuple[int, int], tuple[list, list]] = {}
+            for cid, n, raw in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "common")), strict=True):
+                keys = keycounts.spread_sorted(raw)
+                cids, rows = alike.setdefault((n, len(keys)), ([], []))
+                cids.append(cid)
+                rows.append(keys)
+            for (n, _), (cids, rows) in alike.items():
+                yield from subsets(np.array(cids, np.int64), n, np.array(rows, np.uint64))
 
     rows = reps.where(F.col("n") <= bound).select("cid", "n", "common")
     held = shared.stored(rows.mapInArrow(run, "subset long, c long, cid long, n long"), "subsets")
@@ -199,67 +227,110 @@ def light_links(reps: DataFrame, bound: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v, n_u, n_v) that link.
+    """Those of the distinct pairs (u, v, n_u, n_v) that link.
 
-    Pairs are dealt into buckets of about equal weight, a set with many partners into as many as they need; a bucket gets each of its left sets once.
+    Pairs are dealt over buckets of about equal weight, whatever set they hold; a bucket gets each set that its pairs name once.
     """
     weight = pairs.agg(F.sum(F.col("n_u") + F.col("n_v"))).first()[0] or 0
-    buckets = weight // BUCKET_SHINGLES + 1
+    buckets = max(weight // BUCKET_SHINGLES + 1, keycounts.parts(pairs))
 
-    def run(rows: pa.Table, owners: pa.Table) -> pa.Table:
-        mine = {u: keycounts.spread_sorted(x) for u, x in zip(owners.column("u").to_pylist(), owners.column("common_u").to_pylist(), strict=True)}
-        u, n, m = (rows.column(c).to_pylist() for c in ("u", "n_u", "n_v"))
+    def run(rows: pa.Table) -> pa.Table:
+        named = rows.filter(rows.column("common").is_valid())
+        sets = {u: keycounts.spread_sorted(x) for u, x in zip(named.column("u").to_pylist(), named.column("common").to_pylist(), strict=True)}
+        rows = rows.filter(rows.column("v").is_valid())
+        u, v, n, m = (rows.column(c).to_pylist() for c in ("u", "v", "n_u", "n_v"))
         keep = np.zeros(len(rows), bool)
-        for i, raw in enumerate(rows.column("common_v")):
-            both = len(np.intersect1d(mine[u[i]], keycounts.spread_sorted(raw.as_py()), assume_unique=True))
+        for i in range(len(rows)):
+            both = len(np.intersect1d(sets[u[i]], sets[v[i]], assume_unique=True))
             keep[i] = 9 * both >= 4 * (n[i] + m[i])
         return rows.select(["u", "v"]).filter(pa.array(keep))
 
-    partners = pairs.groupBy("u").agg((F.sum("n_v") / BUCKET_SHINGLES).alias("load")).select(F.col("u").alias("of"), (F.floor("load") + 1).alias("copies"))
-    sets_v = reps.select(F.col("cid").alias("v"), F.col("common").alias("common_v"))
-    bucket = F.pmod(F.xxhash64("u", "copy"), F.lit(buckets)).alias("bucket")
-    sets_u = reps.join(partners, F.col("cid") == F.col("of")).select(F.col("cid").alias("u"), F.col("common").alias("common_u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).select(bucket, "u", "common_u")
-    salted = pairs.join(partners.select(F.col("of").alias("u"), "copies"), "u").select("u", "v", "n_u", "n_v", F.pmod(F.xxhash64("v"), F.col("copies")).alias("copy"))
-    met = salted.join(sets_v, "v").select(bucket, "u", "v", "n_u", "n_v", "common_v")
-    return keycounts.dealt(met, "bucket").groupBy("bucket").cogroup(keycounts.dealt(sets_u, "bucket").groupBy("bucket")).applyInArrow(run, "u long, v long")
+    dealt = pairs.select(F.pmod(F.xxhash64("u", "v"), F.lit(buckets)).alias("bucket"), "u", "v", "n_u", "n_v")
+    names = dealt.select("bucket", F.explode(F.array("u", "v")).alias("cid")).distinct()
+    needed = names.join(reps.select("cid", "common"), "cid").select("bucket", F.col("cid").alias("u"), "common")
+    return keycounts.dealt(dealt.unionByName(needed, allowMissingColumns=True), "bucket").groupBy("bucket").applyInArrow(run, "u long, v long")
+
+
+#: What goes with a set in a list: its size, the largest partner that the key can be the first common one of, its bitmap.
+WITH = ["n", "room", *BITS]
+
+
+def of(side: str, names: list[str] = WITH) -> list[Column]:
+    """The same of side x under another side's names."""
+    return [F.col(f"{c}_x").alias(f"{c}_{side}") for c in names]
 
 
-def may_link(other: str) -> Column:
-    """Whether a pair whose first common shingle is this list's can share enough: what each has from there on bounds the overlap."""
-    return F.expr(f"9 * (n - pos) >= 4 * (n + n_{other}) and 9 * (n_{other} - pos_{other}) >= 4 * (n + n_{other})")
+def may_link(a: str, b: str) -> Column:
+    """Whether two sets whose first common shingle is the list's can share enough: what a set has from there on bounds the size of the other, and the bits in
+    which their bitmaps differ bound what they share."""
+    differ = sum((F.bit_count(F.col(f"{x}_{a}").bitwiseXOR(F.col(f"{x}_{b}"))) for x in BITS), F.lit(0))
+    return (F.col(f"n_{a}") <= F.col(f"room_{b}")) & (F.col(f"n_{b}") <= F.col(f"room_{a}")) & (9 * differ <= F.col(f"n_{a}") + F.col(f"n_{b}"))
+
+
+def ordered(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs (u, v, n_u, n_v), u the lesser, each once."""
+    swap, x, y = F.col(a) > F.col(b), F.struct(F.col(a).alias("c"), F.col(f"n_{a}").alias("n")), F.struct(F.col(b).alias("c"), F.col(f"n_{b}").alias("n"))
+    low, high = F.when(swap, y).otherwise(x), F.when(swap, x).otherwise(y)
+    return rows.select(low["c"].alias("u"), high["c"].alias("v"), low["n"].alias("n_u"), high["n"].alias("n_v")).distinct()
+
+
+def inverted(reps: DataFrame, bound: int) -> DataFrame:
+    """The lists: key, x (a set) and what goes with it, without those who can have no partner in their list."""
+    room = F.floor((5 * F.col("n") - 9 * F.col("p.pos")) / 4).alias("room_x")
+    posted = reps.where(5 * F.col("n") > 4 * bound).select(F.explode("prefix").alias("p"), "cid", "n", *BITS)
+    posted = posted.select("p.key", F.col("cid").alias("x"), F.col("n").alias("n_x"), room, *(F.col(b).alias(f"{b}_x") for b in BITS))
+    sizes = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("n_x").alias("least"), F.max("room_x").alias("most")).where("size > 1 and most >= least")
+    return posted.join(sizes, "key").where("room_x >= least and n_x <= most").drop("size", "least", "most")
 
 
 def joined_components(reps: DataFrame, bound: int, links: DataFrame) -> DataFrame:
-    """Components (u, label) by ``links`` and all links that the lists add between what would be different components."""
-    posted = reps.where(5 * F.col("n") > 4 * bound).select(F.explode("prefix").alias("x"), "cid", "n").select("x.key", "cid", "n", "x.pos")
-    longer = posted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("cid", "n", "pos")).alias("f")).where("size > 1").select("key", F.col("f.cid").alias("p"), F.col("f.n").alias("n_p"), F.col("f.pos").alias("pos_p"))
-    lists = shared.stored(posted.join(longer, "key"), "lists")
-    pairs = lists.where((F.col("cid") != F.col("p")) & may_link("p")).select(F.col("p").alias("u"), F.col("cid").alias("v"), F.col("n_p").alias("n_u"), F.col("n").alias("n_v")).distinct()
-    pairs = seen = shared.stored(pairs, "pairs")
-    left = lists.where("cid <> p").select("key", "cid", "n", "pos")
-    take = 8
+    """Components (u, label) by ``links`` and all links that the lists add between what would be different components.
+
+    Each round compares, in every list, pivots with those of other components: at first the least set of the list, then sets of the component that has
+    most of the list. So what links is joined after a few comparisons each, and what is left of a list are the pairs between its components.
+    Once these are few beside the lists, or pivots don't make them much fewer, they are looked at all at once, and that is the end.
+    """
+    lists = shared.stored(inverted(reps, bound), "lists")
+    budget = lists.count()
+    first = lists.groupBy("key").agg(F.min(F.struct("x", *(f"{c}_x" for c in WITH))).alias("f"))
+    first = first.select("key", F.col("f.x").alias("p"), *(F.col(f"f.{c}_x").alias(f"{c}_p") for c in WITH))
+    pairs = shared.stored(ordered(lists.join(first, "key").where((F.col("x") != F.col("p")) & may_link("x", "p")), "x", "p"), "pairs")
+    left, take, before = lists.join(first.select("key", "p"), "key").where("x <> p").drop("p"), 1, float("inf")
+    last = False
     while True:
         # the stars so far stand for all links so far
         labels = graph.components(links.unionByName(compared(pairs, reps)))
+        if last:
+            return labels
         links = labels.withColumnRenamed("label", "v")
-        named = left.join(labels.withColumnRenamed("u", "cid"), "cid", "left").select("key", "cid", "n", "pos", F.coalesce("label", "cid").alias("label"))
-        still = named.groupBy("key").agg((F.min("label") != F.max("label")).alias("open")).where("open").select("key")
-        left = shared.stored(named.join(still, "key", "left_semi"), "left")
-        if left.isEmpty():
+        named = left.join(labels.withColumnRenamed("u", "x"), "x", "left").withColumn("label_x", F.coalesce("label", "x")).drop("label")
+        named = shared.stored(named, "named")
+        groups = named.groupBy("key", "label_x").agg(F.count(F.lit(1)).alias("size"))
+        still = groups.groupBy("key").agg(F.sum("size").alias("all"), F.sum(F.col("size") * F.col("size")).alias("same"), F.max(F.struct("size", "label_x")).alias("top")).where("all * all > same")
+        looks = F.col("all") * (F.col("all") - F.col("top.size"))
+        still = still.select("key", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("apart"), F.col("top.label_x").alias("top"), F.ceil(F.sqrt(looks / LOOKS)).cast("int").alias("grid"))
+        still = shared.stored(still, "open")
+        apart = still.agg(F.sum("apart")).first()[0] or 0
+        if not apart:
             return labels
-        # pivots: from the list's smallest components first; best of each salt, then of the list
-        ranked = left.join(left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")), ["key", "label"])
-        salt = F.pmod(F.xxhash64("cid"), F.lit(32))
-        inner, outer = (F.expr(f"row_number() over (partition by {k} order by size, label, cid)") for k in ("key, salt", "key"))
-        pivots = ranked.withColumn("salt", salt).withColumn("r", inner).where(F.col("r") <= take).withColumn("r", outer).where(F.col("r") <= take)
-        pivots = shared.stored(pivots.select("key", F.col("cid").alias("p"), F.col("n").alias("n_p"), F.col("pos").alias("pos_p"), F.col("label").alias("label_p")), "pivots")
-        met = left.join(pivots, "key").where((F.col("label") != F.col("label_p")) & may_link("p"))
-        swap = F.col("p") > F.col("cid")
-        pairs = met.select(F.least("p", "cid").alias("u"), F.greatest("p", "cid").alias("v"), F.when(swap, F.col("n")).otherwise(F.col("n_p")).alias("n_u"), F.when(swap, F.col("n_p")).otherwise(F.col("n")).alias("n_v"))
-        pairs = shared.stored(pairs.distinct().join(seen.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
-        seen = shared.stored(seen.unionByName(pairs), "seen")
-        left = left.join(pivots.select("key", F.col("p").alias("cid")), ["key", "cid"], "left_anti").select("key", "cid", "n", "pos")
-        take *= 8
+        left = shared.stored(named.join(still.drop("apart"), "key"), "left")
+        last, before = apart <= budget or apart > 0.8 * before, apart
+        if last:  # who is not of the list's largest component, with everyone of another; a long list's are dealt over the cells of a grid
+            cell = lambda x: F.pmod(F.xxhash64(x), F.col("grid")).cast("int")
+            every = F.explode(F.sequence(F.lit(0), F.col("grid") - 1))
+            met = left.where("label_x <> top").select("key", F.col("x").alias("p"), *of("p", [*WITH, "label"]), every.alias("i"), cell("x").alias("j"))
+            met = left.select("*", cell("x").alias("i"), every.alias("j")).join(met, ["key", "i", "j"]).where((F.col("label_x") == F.col("top")) | (F.col("x") < F.col("p")))
+        else:  # the best of each salt, then of the list
+            salt = F.pmod(F.xxhash64("x"), F.lit(32))
+            inner, outer = (F.expr(f"row_number() over (partition by {k} order by label_x <> top, label_x, x)") for k in ("key, salt", "key"))
+            best = left.withColumn("salt", salt).withColumn("r", inner).where(F.col("r") <= take).withColumn("r", outer).where(F.col("r") <= take)
+            chosen = shared.stored(best.select("key", F.col("x").alias("p"), *of("p", [*WITH, "label"])), "pivots")
+            met = left.join(chosen, "key")
+        met = met.where((F.col("label_x") != F.col("label_p")) & may_link("x", "p"))
+        pairs = shared.stored(ordered(met, "x", "p"), "pairs")
+        if not last:
+            left = left.join(chosen.select("key", F.col("p").alias("x")), ["key", "x"], "left_anti").drop("label_x", "top", "grid")
+            take *= 2
 
 
 # -- operator ------------------------------------------------------------------------------------------------------------

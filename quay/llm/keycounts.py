@@ -119,7 +119,7 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_WORDS) -> Itera
 
 def shard_bits(df: DataFrame) -> int:
     """As many shards as shuffle partitions, up to a power of two."""
-    return max(3, (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    return max(3, (parts(df) - 1).bit_length())
 
 
 def asked(name: str, path: str, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -171,9 +171,14 @@ def _answer(table: pa.Table) -> pa.Table:
     })
 
 
+def parts(df: DataFrame) -> int:
+    """Partitions that the session shuffles into."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def dealt(df: DataFrame, key: str) -> DataFrame:
     """Dealt by a key into as many partitions as the session shuffles into: a row here stands for much work, so few bytes must not end up in few tasks."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(parts(df), key)
 
 
 def answers(asked: DataFrame) -> DataFrame:
