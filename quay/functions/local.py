@@ -15,6 +15,17 @@ def literal(x: object) -> str:
     return f"{x!r}D" if isinstance(x, float) else str(x)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case: helper columns never meet a user's."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """``schema`` is a list of simple columns, such as ``a string, n int``."""
     names = [c.split() for c in schema.split(",")]

@@ -79,16 +79,40 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
+#: What a glob is made of: a bracket, an escape, any other character.
+GLOB_TOKEN = r"(?s)\[\^?+(?:\\.|[^\]\\])+\]|\\.|."
+#: Punctuation that may have a meaning in a regular expression.
+_PUNCTUATION = r"([!-/:-@\[-`{-~])"
+
+
+def _plain(c: Column) -> Column:
+    """A character for a regular expression, without any meaning."""
+    return F.regexp_replace(c, _PUNCTUATION, r"\\$1")
+
+
 def glob_regex(pattern: Column) -> Column:
-    """A glob (*, ?, [..], backslash escapes; none crosses /) as an anchored regular expression."""
-    quoted = F.regexp_replace(pattern, r"([.+^$(){}|])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", "[^/]*"), r"\?", "[^/]"), F.lit("$"))
+    """A glob (*, ?, [..], [^..], backslash escapes) as an anchored regular expression: * and ? don't cross a slash."""
+
+    def bracket(t: Column) -> Column:
+        inside = F.regexp_extract(t, r"(?s)^\[\^?(.*)\]$", 1)
+        member = lambda m: F.when(m == "-", "-").when(m.startswith("\\"), _plain(F.substring(m, 2, 1))).otherwise(_plain(m))
+        members = F.array_join(F.transform(F.regexp_extract_all(inside, F.lit(r"(?s)\\.|."), F.lit(0)), member), "")
+        return F.concat(F.when(t.startswith("[^"), "[^").otherwise("["), members, F.lit("]"))
+
+    def one(t: Column) -> Column:
+        return (
+            F.when(t == "*", "[^/]*").when(t == "?", "[^/]").when((F.length(t) > 1) & t.startswith("["), bracket(t))
+            .when((F.length(t) > 1) & t.startswith("\\"), _plain(F.substring(t, 2, 1))).otherwise(_plain(t))
+        )
+
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(F.regexp_extract_all(pattern, F.lit(GLOB_TOKEN), F.lit(0)), one), ""), F.lit("$"))
 
 
 def glob_valid(pattern: Column) -> Column:
-    """Whether brackets close and no escape hangs."""
-    bare = F.regexp_replace(F.regexp_replace(pattern, r"\\.", ""), r"\[\^?[^\]]+\]", "")
-    return ~bare.rlike(r"[\[\\]")
+    """Whether brackets close, hold something, have whole ranges, and no escape hangs."""
+    found = F.regexp_extract_all(pattern, F.lit(GLOB_TOKEN), F.lit(0))
+    bad_range = r"(?s)^\[\^?(?:(?:\\.|[^\\])-(?:\\.|[^\\-])|(?:\\.|[^\\-]))*-\]$|^\[\^?-"
+    return ~F.exists(found, lambda t: t.isin("[", "\\") | t.rlike(bad_range))
 
 
 def human_bytes(n: Column) -> Column:
@@ -123,3 +147,12 @@ def human_duration(ns: Column) -> Column:
 
 def pad(text: Column, width: int) -> Column:
     return F.when(F.length(text) >= width, text).otherwise(F.rpad(text, width, " "))
+
+
+#: Fixed value: characters that a passphrase has at least, without white space at its ends.
+LEAST_PASSPHRASE = 8
+
+
+def passphrase_ok(text: Column) -> Column:
+    """Whether a passphrase is long enough to encrypt with."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")) >= LEAST_PASSPHRASE

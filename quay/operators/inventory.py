@@ -1,6 +1,7 @@
 """Inventory of files: exclusion, secrets, classes, summaries and the size estimate.
 
-An inventory is a DataFrame with ``path`` and ``size`` (and any other columns). All dimension tables here have a fixed number of rows
+An inventory is a DataFrame with ``path`` and ``size`` (and any other columns, which stay as they are; a column that a step adds
+replaces one of that name). All dimension tables here have a fixed number of rows
 (the largest has some 230), so broadcasting them is bounded.
 """
 
@@ -36,12 +37,13 @@ def classify(files: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     rest = F.regexp_extract(name, r"^(.*)\.[^.]*$", 1)
     first = F.when(hidden, F.substring(name, 2, 1 << 20)).otherwise(F.nullif(last, F.lit("")))
     second = F.when(~hidden & (last != "") & rest.contains("."), paths.last_ext(rest))
-    rows = files.withColumns({"_name": F.when(~hidden, name), "_hidden": hidden, "_e1": first, "_e2": second})
+    n, h, e1, e2, c1, c2, c3 = local.free(files, "name", "hidden", "e1", "e2", "c1", "c2", "c3")
+    rows = files.withColumns({n: F.when(~hidden, name), h: hidden, e1: first, e2: second})
     by = lambda key, col: known.select(F.col("ext").alias(key), F.col("class").alias(col))
-    names = _dim(spark, [(n, "text") for n in fixed.TEXT_NAMES], "_name string, _c3 string")
-    rows = rows.join(by("_e1", "_c1"), "_e1", "left").join(by("_e2", "_c2"), "_e2", "left").join(names, "_name", "left")
-    found = F.when(F.col("_hidden"), F.coalesce("_c1", F.lit("text"))).otherwise(F.coalesce("_c1", "_c3", "_c2", F.lit("unknown")))
-    return rows.withColumn("class", found).select(*files.columns, "class")
+    names = _dim(spark, [(x, "text") for x in fixed.TEXT_NAMES], f"{n} string, {c3} string")
+    rows = rows.join(by(e1, c1), e1, "left").join(by(e2, c2), e2, "left").join(names, n, "left")
+    found = F.when(F.col(h), F.coalesce(c1, F.lit("text"))).otherwise(F.coalesce(c1, c3, c2, F.lit("unknown")))
+    return rows.withColumn("class", found).select(*files.columns, *([] if "class" in files.columns else ["class"]))
 
 
 def excluded(files: DataFrame, rules: DataFrame | None = None, root: str | None = None) -> DataFrame:
@@ -51,26 +53,28 @@ def excluded(files: DataFrame, rules: DataFrame | None = None, root: str | None
     below = F.col("path") if root is None else F.coalesce(paths.under(F.col("path"), F.lit(root)), F.col("path"))
     folders = F.transform(F.slice(paths.segments(below), F.lit(1), F.greatest(F.size(paths.segments(below)) - 1, F.lit(0))), F.lower)
     # The rules as one row of a bounded table: a file's folders are looked up without a join that multiplies rows.
-    named = F.broadcast(rules.agg(F.map_from_entries(F.collect_list(F.struct("seg", "dir"))).alias("_rules")).withColumn("_one", F.lit(1)))
-    with_rules = files.withColumn("_folders", folders).withColumn("_one", F.lit(1)).join(named, "_one", "left")
-    first = F.expr("try_element_at(filter(transform(_folders, s -> _rules[s]), d -> d is not null), 1)")
-    return with_rules.withColumn("rule", first).select(*files.columns, "rule")
+    f, r, one = local.free(files, "folders", "rules", "one")
+    named = F.broadcast(rules.agg(F.map_from_entries(F.collect_list(F.struct("seg", "dir"))).alias(r)).withColumn(one, F.lit(1)))
+    with_rules = files.withColumn(f, folders).withColumn(one, F.lit(1)).join(named, one, "left")
+    first = F.try_element_at(F.filter(F.transform(f, lambda s: F.col(r)[s]), lambda d: d.isNotNull()), F.lit(1))
+    return with_rules.withColumn("rule", first).select(*files.columns, *([] if "rule" in files.columns else ["rule"]))
 
 
 def secrets(files: DataFrame) -> DataFrame:
     """Adds ``secret``, the reason why a file is secret: by name, then extension, then .env, then any segment."""
     spark = files.sparkSession
     name = F.lower(paths.base_name(F.col("path")))
-    rows = files.withColumns({"_name": name, "_ext": paths.last_ext(name), "_segs": F.transform(paths.segments(F.col("path")), F.lower)})
-    names = _dim(spark, sorted(fixed.SECRET_NAMES.items()), "_name string, _r1 string")
-    exts = _dim(spark, sorted(fixed.SECRET_EXTS.items()), "_ext string, _r2 string")
-    env = F.when((F.col("_name") == ".env") | F.col("_name").startswith(".env."), fixed.SECRET_ENV)
-    first = F.expr("try_element_at(filter(_segs, s -> s in (" + ", ".join(f"'{d}'" for d in fixed.SECRET_DIRS) + ")), 1)")
+    n, e, segs, r1, r2 = local.free(files, "name", "ext", "segs", "r1", "r2")
+    rows = files.withColumns({n: name, e: paths.last_ext(name), segs: F.transform(paths.segments(F.col("path")), F.lower)})
+    names = _dim(spark, sorted(fixed.SECRET_NAMES.items()), f"{n} string, {r1} string")
+    exts = _dim(spark, sorted(fixed.SECRET_EXTS.items()), f"{e} string, {r2} string")
+    env = F.when((F.col(n) == ".env") | F.col(n).startswith(".env."), fixed.SECRET_ENV)
+    first = F.try_element_at(F.filter(segs, lambda s: s.isin(*fixed.SECRET_DIRS)), F.lit(1))
     folder = F.lit(None).cast("string")
     for d, why in fixed.SECRET_DIRS.items():
         folder = F.when(first == d, why).otherwise(folder)
-    rows = rows.join(names, "_name", "left").join(exts, "_ext", "left")
-    return rows.withColumn("secret", F.coalesce("_r1", "_r2", env, folder)).select(*files.columns, "secret")
+    rows = rows.join(names, n, "left").join(exts, e, "left")
+    return rows.withColumn("secret", F.coalesce(r1, r2, env, folder)).select(*files.columns, *([] if "secret" in files.columns else ["secret"]))
 
 
 def scanned(files: DataFrame, *, rules: DataFrame | None = None, root: str | None = None) -> DataFrame:
@@ -101,8 +105,9 @@ def largest(scan: DataFrame, n: int = 15, seq: str = "seq") -> DataFrame:
 
 def composition(classes: DataFrame) -> DataFrame:
     """Adds each class's share of all bytes, in percent."""
-    total = classes.agg(F.sum("bytes").alias("_total"))
-    return classes.join(F.broadcast(total)).withColumn("percent", F.when(F.col("_total") > 0, 100.0 * F.col("bytes") / F.col("_total")).otherwise(0.0)).drop("_total")
+    t, one = local.free(classes, "total", "one")
+    total = classes.agg(F.sum("bytes").alias(t)).withColumn(one, F.lit(1))
+    return classes.withColumn(one, F.lit(1)).join(F.broadcast(total), one).withColumn("percent", F.when(F.col(t) > 0, 100.0 * F.col("bytes") / F.col(t)).otherwise(0.0)).drop(t, one)
 
 
 def estimate(classes: DataFrame, *, workers: int = 1, volume_size: int = fixed.VOLUME_SIZE, override: dict[str, float] | None = None) -> DataFrame:

@@ -6,10 +6,14 @@ after the other; every other file is cut into blocks of its own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quay.functions import fixed
+from quay.functions import fixed, local
 from quay.operators import ordered
 from quay.operators.staged import staged
 
@@ -17,15 +21,16 @@ from quay.operators.staged import staged
 def dedup(files: DataFrame) -> DataFrame:
     """Adds ``dup`` and ``original`` (seq): the first of equal content is the original; empty files never are duplicates."""
     # Only sizes that occur twice can repeat; of those the first by seq is a plain aggregate, so no large window is needed.
-    first = files.where("size > 0").groupBy("sha256", "size").agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    f, n = local.free(files, "first", "n")
+    first = files.where("size > 0").groupBy("sha256", "size").agg(F.min("seq").alias(f), F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).drop(n)
     joined = files.join(first, ["sha256", "size"], "left")
-    dup = F.col("_first").isNotNull() & (F.col("_first") < F.col("seq"))
-    return joined.select(*[files[c] for c in files.columns], dup.alias("dup"), F.when(dup, F.col("_first")).otherwise(F.col("seq")).alias("original"))
+    dup = F.col(f).isNotNull() & (F.col(f) < F.col("seq"))
+    return joined.select(*[files[c] for c in files.columns], dup.alias("dup"), F.when(dup, F.col(f)).otherwise(F.col("seq")).alias("original"))
 
 
 def same_size(files: DataFrame) -> DataFrame:
     """Files whose size another file has: only these need a hash."""
-    sizes = files.groupBy("size").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("size")
+    sizes = files.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("size")
     return files.join(sizes, "size", "left_semi")
 
 
@@ -73,8 +78,8 @@ def volumes(blocks: DataFrame, parts: DataFrame, *, stored: Column | None = None
     """(block_id, volume, pos): next fit in the order of blocks, an empty volume takes any.
 
     A volume keeps room for its index: so much for each entry that has a part in it and for each block. The choice depends on all choices before, so it is
-    a fold over the blocks of one package: a row of some 40 bytes for every block of 32 MiB, or 120 MB for 100 TB. ``package`` tells packages
-    apart, which are folded in parallel.
+    a fold over the blocks of one package in order, which are streamed: a row for every block of 32 MiB, and nothing is kept but where the
+    volume stands. ``package`` tells packages apart, which are folded in parallel.
     """
     # for each entry of a block: the entry's block before, which tells whether the current volume already counts the entry
     before = F.lag("block_id").over(Window.partitionBy("seq").orderBy("block_id"))
@@ -83,23 +88,63 @@ def volumes(blocks: DataFrame, parts: DataFrame, *, stored: Column | None = None
     rows = blocks.join(entries, "block_id", "left").select(
         (F.lit(0) if package is None else package).alias("package"), F.struct("block_id", size.cast("long").alias("stored"), F.coalesce("prevs", F.array().cast("array<bigint>")).alias("prevs")).alias("b")
     )
-    lists = rows.groupBy("package").agg(F.array_sort(F.collect_list("b")).alias("bs"))
-    start = "named_struct('v', 0, 'pos', 0L, 'first', -1L, 'blocks', 0L, 'touched', 0L, 'out', cast(array() as array<struct<block_id: bigint, volume: int, pos: bigint>>))"
-    need = f"{fixed.BLOCK_HEAD}L + x.stored"
-    fit = f"a.blocks > 0 and a.pos + {need} + a.touched * {fixed.PER_ENTRY}L + a.blocks * {fixed.PER_BLOCK}L + {reserve}L <= {volume_size}L"
-    step = f"""case when {fit}
-        then named_struct('v', a.v, 'pos', a.pos + {need}, 'first', a.first, 'blocks', a.blocks + 1L,
-             'touched', a.touched + cast(size(filter(x.prevs, p -> p < a.first)) as bigint), 'out', concat(a.out, array(named_struct('block_id', x.block_id, 'volume', a.v, 'pos', a.pos))))
-        else named_struct('v', a.v + 1, 'pos', {fixed.VOLUME_HEAD}L + {need}, 'first', x.block_id, 'blocks', 1L,
-             'touched', cast(size(x.prevs) as bigint), 'out', concat(a.out, array(named_struct('block_id', x.block_id, 'volume', a.v + 1, 'pos', {fixed.VOLUME_HEAD}L)))) end"""
-    folded = lists.select("package", F.expr(f"aggregate(bs, {start}, (a, x) -> {step}, a -> a.out)").alias("out"))
-    return folded.select("package", F.explode("out").alias("o")).select("package", "o.block_id", "o.volume", "o.pos") if package is not None else folded.select(F.explode("out").alias("o")).select("o.*")
+    dealt = rows.select("package", "b.*").repartition("package").sortWithinPartitions("package", "block_id")
+    kind = dict(rows.dtypes)["package"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = VolumeState(volume_size, reserve)
+        for batch in batches:
+            columns = (batch.column(c) for c in ("package", "block_id", "stored", "prevs"))
+            found = [state.place(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("package"), batch.column("block_id"), pa.array([v for v, _ in found], pa.int32()), pa.array([p for _, p in found], pa.int64())], ["package", "block_id", "volume", "pos"])
+
+    folded = dealt.mapInArrow(fold, f"package {kind}, block_id long, volume int, pos long")
+    return folded if package is not None else folded.drop("package")
+
+
+@dataclass
+class VolumeState:
+    """Where the volume that is being filled stands."""
+
+    size: int
+    reserve: int
+    package: object = None
+    volume: int = 0
+    pos: int = 0
+    first: int = 0
+    blocks: int = 0
+    touched: int = 0
+
+    def place(self, package: object, block: int, stored: int, prevs: list[int]) -> tuple[int, int]:
+        """The volume and the position of the next block; ``prevs``: of each entry with a part in it, the block before that has one."""
+        if package != self.package or not self.volume:
+            self.package, self.volume, self.blocks = package, 0, 0
+        need = fixed.BLOCK_HEAD + stored
+        if not self.blocks or self.pos + need + self.touched * fixed.PER_ENTRY + self.blocks * fixed.PER_BLOCK + self.reserve > self.size:
+            self.volume, self.pos, self.first, self.blocks, self.touched = self.volume + 1, fixed.VOLUME_HEAD, block, 0, 0
+        at = self.pos
+        self.pos, self.blocks = at + need, self.blocks + 1
+        # at its first block a volume counts every entry, later those it has not counted yet
+        self.touched += len(prevs) if self.blocks == 1 else sum(p < self.first for p in prevs)
+        return self.volume, at
+
+
+def duplicate_entries(entries: DataFrame) -> DataFrame:
+    """(root, path, n) of entries that a package refuses, as it has one of that root and path."""
+    return entries.groupBy("root", "path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def size_mismatches(listed: DataFrame, packed: DataFrame) -> DataFrame:
+    """(seq, listed, packed) of files (seq, size) that grew or shrank between the inventory and the package."""
+    both = listed.select("seq", F.col("size").alias("listed")).join(packed.select("seq", F.col("size").alias("packed")), "seq")
+    return both.where("listed <> packed")
 
 
 def placed(files: DataFrame, parts: DataFrame, located: DataFrame) -> DataFrame:
     """Adds ``placed``: all bytes of the file lie in blocks that are in a volume."""
-    have = parts.join(located.select("block_id", "volume"), "block_id", "left").groupBy("seq").agg(F.sum("len").alias("_len"), F.bool_and(F.coalesce(F.col("volume") > 0, F.lit(False))).alias("_in"))
-    return files.join(have, "seq", "left").select(*[files[c] for c in files.columns], ((F.col("size") == 0) | (F.coalesce("_in", F.lit(False)) & (F.col("_len") == F.col("size")))).alias("placed"))
+    n, inside = local.free(files, "len", "inside")
+    have = parts.join(located.select("block_id", "volume"), "block_id", "left").groupBy("seq").agg(F.sum("len").alias(n), F.bool_and(F.coalesce(F.col("volume") > 0, F.lit(False))).alias(inside))
+    return files.join(have, "seq", "left").select(*[files[c] for c in files.columns], ((F.col("size") == 0) | (F.coalesce(inside, F.lit(False)) & (F.col(n) == F.col("size")))).alias("placed"))
 
 
 def volume_table(blocks: DataFrame, located: DataFrame) -> DataFrame:

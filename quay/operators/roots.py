@@ -9,24 +9,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quay.functions import paths
+from quay.functions import local, paths
 
 OTHER = "other"
 
 
 def split_roots(files: DataFrame, roots: DataFrame, *, os: str = "linux") -> DataFrame:
     """Adds ``root`` and ``rel``; what no root holds gets root ``other`` and its portable absolute path."""
+    b, = local.free(files, "best")
     mine = files.select("path").distinct().withColumn("_up", F.explode(paths.ancestors(F.col("path"))))
     held = mine.join(roots.select("root", F.col("root_path").alias("_up")), "_up")
-    best = held.groupBy("path").agg(F.max(F.struct(F.length("_up").alias("n"), F.col("_up").alias("up"), F.col("root").alias("root"))).alias("_best"))
-    rel = F.coalesce(paths.under(F.col("path"), F.col("_best.up")), paths.other_key(F.col("path"), F.lit(os)))
-    return files.join(best, "path", "left").select(*files.columns, F.coalesce("_best.root", F.lit(OTHER)).alias("root"), rel.alias("rel"))
+    best = held.groupBy("path").agg(F.max(F.struct(F.length("_up").alias("n"), F.col("_up").alias("up"), F.col("root").alias("root"))).alias(b))
+    rel = F.coalesce(paths.under(F.col("path"), F.col(b)["up"]), paths.other_key(F.col("path"), F.lit(os)))
+    return files.join(best, "path", "left").select(*files.columns, F.coalesce(F.col(b)["root"], F.lit(OTHER)).alias("root"), rel.alias("rel"))
 
 
 def join_roots(entries: DataFrame, roots: DataFrame, *, home: str, restored: str = "restored-files") -> DataFrame:
     """Adds ``dest``, the absolute path of (root, rel) here; null where the root does not exist."""
-    joined = entries.join(roots.select("root", "root_path"), "root", "left")
-    base = F.when(F.col("root") == OTHER, F.lit(f"{home}/{restored}")).otherwise(F.col("root_path"))
+    up, = local.free(entries, "up")
+    joined = entries.join(roots.select("root", F.col("root_path").alias(up)), "root", "left")
+    base = F.when(F.col("root") == OTHER, F.lit(f"{home}/{restored}")).otherwise(F.col(up))
     dest = F.when(F.col("rel").isin(".", ""), base).otherwise(F.concat(base, F.lit("/"), F.col("rel")))
     return joined.select(*entries.columns, dest.alias("dest"))
 

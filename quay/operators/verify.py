@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quay.functions import local
+
 
 def check_sums(sums: DataFrame, files: DataFrame) -> DataFrame:
     """Problems (name, problem) between ``sums`` (name, sha256) and ``files`` (name, sha256; null where a file can't be read)."""
@@ -32,16 +37,44 @@ def check_headers(headers: DataFrame, *, magic: str, newest: int) -> DataFrame:
     return headers.select("volume", problem.alias("problem")).where("problem is not null")
 
 
+#: What the fields of a journal line must be, as far as a line has them.
+JOURNAL = {"t": "STRING", "n": "BIGINT", "bytes": "BIGINT", "sha256": "STRING", "at": "STRING"}
+#: A time as RFC 3339 has it.
+TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
+
+
+def is_journal_line(text: Column) -> Column:
+    """Whether a text is a JSON object (or null) whose known fields have the journal's types or are null."""
+    # the parser stops behind a first value: in both kinds of brackets no more than one value can stand
+    listed, held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}")))
+    line = F.when(held.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull(), F.try_variant_get(listed, "$[0]", "variant"))
+    whole = F.schema_of_variant(line)
+    good = whole.startswith("OBJECT<") | (whole == "VOID")
+    for name, kind in JOURNAL.items():
+        found = F.schema_of_variant(F.try_variant_get(line, f"$.{name}", "variant"))
+        good = good & (found.isNull() | found.isin(kind, "VOID"))
+    number = F.try_variant_get(line, "$.n", "long")
+    good = good & (number.isNull() | number.between(0, 2**32 - 1))
+    at, digest = (F.try_variant_get(line, f"$.{x}", "string") for x in ("at", "sha256"))
+    good = good & (at.isNull() | at.rlike(TIME)) & (digest.isNull() | digest.rlike("^[0-9a-fA-F]{64}$"))
+    return line.isNotNull() & F.coalesce(good, F.lit(False))
+
+
 def journal_prefix(lines: DataFrame) -> DataFrame:
-    """The journal (line, text) up to its first torn line; blank lines are passed over.
+    """The journal (line, text) up to its first line that is none; blank lines are passed over.
 
-    The first torn line is one aggregate, so no window runs over the whole journal.
+    The first such line is one aggregate, so no window runs over the whole journal.
     """
-    # a line is torn when it is no JSON object
-    torn = F.col("text").isNotNull() & (F.trim("text") != "") & F.try_parse_json("text").isNull()
-    first = lines.where(torn).agg(F.min("line").alias("_torn")).withColumn("_one", F.lit(1))
-    kept = lines.where(F.trim("text") != "").withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one", "left")
-    return kept.where("_torn is null or line < _torn").select(*lines.columns)
+    torn, one = local.free(lines, "torn", "one")
+    full = F.trim(F.coalesce("text", F.lit(""))) != ""
+    first = lines.where(full & ~is_journal_line(F.col("text"))).agg(F.min("line").alias(torn)).withColumn(one, F.lit(1))
+    kept = lines.where(full).withColumn(one, F.lit(1)).join(F.broadcast(first), one, "left")
+    return kept.where(F.col(torn).isNull() | (F.col("line") < F.col(torn))).select(*lines.columns)
+
+
+def incomplete(manifests: DataFrame) -> DataFrame:
+    """(id, problem) of packages whose manifest says that writing was not finished."""
+    return manifests.where(~F.coalesce("complete", F.lit(False))).select("id", F.lit("incomplete").alias("problem"))
 
 
 def verify_counts(blocks: DataFrame, located: DataFrame) -> DataFrame:
@@ -51,17 +84,43 @@ def verify_counts(blocks: DataFrame, located: DataFrame) -> DataFrame:
 def reassemble(parts: DataFrame, content: DataFrame, files: DataFrame) -> DataFrame:
     """seq and status (ok, damaged, incomplete) of files from their parts (seq, block_id, off, len, n) and blocks' bytes (block_id, data).
 
-    Bytes of one file meet in its group and nowhere else; a damaged or missing block fails only its files.
+    A file's pieces are hashed one after the other as they stream by, so no file is ever held as a whole; a damaged or missing block fails only its files.
     """
-    pieces = parts.join(content.select("block_id", "data"), "block_id", "left").select("seq", "n", "len", F.expr("substring(data, cast(off + 1 as int), cast(len as int))").alias("piece"))
-    whole = pieces.groupBy("seq").agg(
-        F.bool_or(F.col("piece").isNull()).alias("gone"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.hex("piece").alias("h")))), lambda x: x["h"]), "").alias("hex"),
-    )
-    joined = files.select("seq", "size", "sha256").join(whole, "seq", "left")
-    data = F.unhex(F.coalesce("hex", F.lit("")))
-    good = (F.octet_length(data) == F.col("size")) & (F.sha2(data, 256) == F.col("sha256"))
-    return joined.select("seq", F.when(F.col("gone") | (F.col("hex").isNull() & (F.col("size") > 0)), "incomplete").when(good, "ok").otherwise("damaged").alias("status"))
+    pieces = parts.join(content.select("block_id", "data"), "block_id", "left").select(F.col("seq").cast("long").alias("seq"), "n", F.expr("substring(data, cast(off + 1 as int), cast(len as int))").alias("piece"))
+    whole = pieces.repartition("seq").sortWithinPartitions("seq", "n").select("seq", "piece").mapInArrow(_hashed, "seq long, length long, digest string, gone boolean")
+    digest, gone, length = local.free(files, "digest", "gone", "length")
+    joined = files.select("seq", "size", "sha256").join(whole.select("seq", F.col("digest").alias(digest), F.col("gone").alias(gone), F.col("length").alias(length)), "seq", "left")
+    empty = F.col(gone).isNull() & (F.col("size") == 0) & (F.col("sha256") == F.sha2(F.lit(""), 256))
+    good = (F.col(length) == F.col("size")) & (F.col(digest) == F.col("sha256"))
+    return joined.select("seq", F.when(F.col(gone) | (F.col(gone).isNull() & (F.col("size") > 0)), "incomplete").when(good | empty, "ok").otherwise("damaged").alias("status"))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seq, length, digest, gone) of runs of pieces (seq, piece); gone: a piece is missing."""
+    now, length, gone, hasher = None, 0, False, hashlib.sha256()
+    out: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], ["seq", "length", "digest", "gone"])
+
+    for batch in batches:
+        for seq, piece in zip(batch.column("seq").to_pylist(), batch.column("piece"), strict=True):
+            if seq != now:
+                if now is not None:
+                    out.append((now, length, hasher.hexdigest(), gone))
+                now, length, gone, hasher = seq, 0, False, hashlib.sha256()
+            if piece.is_valid:
+                data = piece.as_buffer()
+                hasher.update(data)
+                length += len(data)
+            else:
+                gone = True
+        if out:
+            yield made()
+            out = []
+    if now is not None:
+        out.append((now, length, hasher.hexdigest(), gone))
+        yield made()
 
 
 def decode_blocks(blocks: DataFrame) -> DataFrame:
@@ -71,5 +130,3 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
     data = decompress(F.col("codec"), F.col("stored"), F.col("raw"))
     rows = blocks.withColumn("data", data)
     return rows.withColumn("ok", F.coalesce((F.octet_length("data") == F.col("raw")) & (F.sha2("data", 256) == F.col("sha256")), F.lit(False)))
-
-

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from quay.functions import fixed
 from quay.sources import appdb
@@ -15,6 +16,32 @@ def values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
 
 
+def glob_regex(glob: str) -> str | None:
+    """A glob as a regular expression, character by character; None if it is malformed."""
+    out, i = "", 0
+    while i < len(glob):
+        c = glob[i]
+        i += 1
+        if c in "*?":
+            out += "[^/]*" if c == "*" else "[^/]"
+        elif c == "\\":
+            if i == len(glob):
+                return None
+            out, i = out + re.escape(glob[i]), i + 1
+        elif c == "[":
+            end = i + 1 if glob[i : i + 1] == "^" else i
+            start = end
+            while end < len(glob) and glob[end] != "]":
+                end += 2 if glob[end] == "\\" else 1
+            if end >= len(glob) or end == start:
+                return None
+            out += "[" + ("^" if start > i else "") + glob[start:end] + "]"
+            i = end + 1
+        else:
+            out += re.escape(c)
+    return out
+
+
 def _lists() -> dict[str, str]:
     from quay import catalog
 
@@ -122,7 +149,7 @@ def _manifest() -> str:
     return f"""{_sightings()},
 manifest AS (SELECT app_id, min(seq) AS pos FROM matched WHERE app_id IS NOT NULL GROUP BY app_id UNION ALL SELECT 'ghost', -1),
 apps AS (SELECT * FROM {values(apps)} AS t(app_id, is_on, portability)), spots AS (SELECT * FROM {values(spots)} AS t(app_id, os, key, path)),
-here AS (SELECT * FROM (VALUES ('git', 'pacman'), ('kate', 'flatpak')) AS t(app_id, via)),
+here AS (SELECT * FROM (VALUES ('rook', 'pacman'), ('kestrel', 'flatpak')) AS t(app_id, via)),
 pick AS (SELECT app_id, arg_min(manager, r) AS manager, arg_min(package, r) AS package FROM (SELECT *, CASE manager WHEN 'pacman' THEN 0 ELSE 100 END + ord AS r FROM {values(ids)} AS t(app_id, manager, ord, package)) GROUP BY app_id),
 able AS (SELECT * FROM {values(able)} AS t(app_id, needs)),
 eq AS (SELECT e.app_id, arg_min(e.q, ord) AS q FROM {values(equal)} AS e(app_id, ord, q) JOIN apps ON apps.app_id = e.q AND is_on LEFT JOIN here ON here.app_id = e.q LEFT JOIN pick ON pick.app_id = e.q WHERE here.via IS NOT NULL OR pick.manager IS NOT NULL GROUP BY e.app_id),
@@ -131,6 +158,67 @@ plan AS (SELECT m.app_id, m.pos, CASE WHEN apps.app_id IS NULL THEN 'missing' WH
   FROM manifest m LEFT JOIN apps USING (app_id) LEFT JOIN here USING (app_id) LEFT JOIN pick USING (app_id) LEFT JOIN able USING (app_id) LEFT JOIN eq USING (app_id) LEFT JOIN here hq ON hq.app_id = eq.q LEFT JOIN pick pq ON pq.app_id = eq.q)"""
 
 
+def _windows(column: str) -> str:
+    """A path with what Windows refuses replaced, segment by segment: each as it is (s) and replaced (w)."""
+    reserved = ", ".join(f"'{n}'" for n in fixed.RESERVED_NAMES)
+    segment = f"""CASE WHEN x.s IN ('', '.') THEN x.s WHEN x.s = '..' THEN '_..' WHEN lower(CASE WHEN instr(x.w, '.') > 1 THEN string_split(x.w, '.')[1] ELSE x.w END) IN ({reserved}) THEN '_' || x.w ELSE x.w END"""
+    pairs = rf"""list_transform(string_split({column}, '/'), lambda s: {{'s': s, 'w': coalesce(nullif(rtrim(regexp_replace(s, '[\x00-\x1f<>:"\\|?*]', '_', 'g'), '. '), ''), '_')}})"""
+    return f"array_to_string(list_transform({pairs}, lambda x: {segment}), '/')"
+
+
+def _entries() -> str:
+    names = ["Report: final?.docx", "report: FINAL?.docx", "con.txt", "notes. ", "a<b>|c.md"]
+    return f"""{_files()}, entries AS (SELECT DISTINCT (['documents', 'pictures', 'downloads', 'other'])[seq % 4 + 1] AS root,
+        'd' || (seq // 40) || '/x' || (seq % 3) || '/' || ({names})[seq % 5 + 1] || CASE WHEN seq % 2 = 0 THEN '' ELSE '~' END || '/' || (seq // 20) || CASE WHEN seq % 20 < 10 THEN '.Txt' ELSE '.txt' END AS path, size FROM files)"""
+
+
+def _renamed(name: str, k: str) -> str:
+    """A name whose ending has four characters with the suffixes of the k-th that wants it."""
+    return f"left({name}, length({name}) - 4) || array_to_string(list_transform(range(2, {k} + 1), lambda i: ' (' || i || ')'), '') || right({name}, 4)"
+
+
+def _restore() -> str:
+    return f"""{_entries()}, a AS (SELECT *, CASE WHEN root = 'downloads' THEN 'other' ELSE root END AS to_root, CASE WHEN root = 'downloads' THEN root || '/' || path ELSE path END AS clean FROM entries),
+    r AS (SELECT *, row_number() OVER (PARTITION BY to_root, clean ORDER BY root, path) AS k FROM a),
+    n AS (SELECT *, CASE to_root WHEN 'documents' THEN '/home/u/Documents' WHEN 'pictures' THEN '/home/u/Pictures' ELSE '/home/u/restored-files' END || '/' || {_renamed('clean', 'k')} AS wanted FROM r),
+    have AS (SELECT DISTINCT '/home/u/Documents/' || path AS wanted, true AS there FROM entries WHERE root = 'documents' AND size % 3 = 0),
+    items AS (SELECT root, path, size, to_root, CASE WHEN there THEN left(wanted, length(wanted) - 4) || ' (kept)' || right(wanted, 4) ELSE wanted END AS dest, CASE WHEN there THEN 'next' ELSE 'write' END AS action,
+        k > 1 AS renamed, coalesce(there, false) AS exists, CASE WHEN k > 1 THEN 'collided' WHEN root = 'downloads' THEN 'no-place' END AS note FROM n LEFT JOIN have USING (wanted))"""
+
+
+def _problems() -> str:
+    """The rules of an entry, each over relations of the same entries."""
+    from quay import catalog
+
+    docs = [json.loads(x) for x in [*appdb.SAMPLE, *catalog.BROKEN]]
+    e = values([(d["id"], d.get("name", ""), d.get("category"), d.get("homepage", ""), d["config"].get("portability"), "windows" in d, "linux" in d) for d in docs])
+    ids = values([(d["id"], os, m, owner, p) for d in docs for os in ("windows", "linux") for m, owner in fixed.MANAGERS.items() for p in d.get(os, {}).get(m, [])])
+    spots = values([(d["id"], os, k, p) for d in docs for os in ("windows", "linux") for k, p in d.get(os, {}).get("paths", {}).items()])
+    sections = values([(d["id"], os, sum(map(len, d[os].values()))) for d in docs for os in ("windows", "linux") if os in d])
+    excludes = values([(d["id"], x) for d in docs for x in d["config"].get("exclude", [])])
+    equal = values([(d["id"], x) for d in docs for x in d.get("equivalents", [])])
+    good, kinds, ports = "^[a-z0-9][a-z0-9-]{0,63}$", values([(c,) for c in fixed.CATEGORIES]), values([(c,) for c in fixed.PORTABILITIES])
+    one = lambda code, detail, rest: f"SELECT app_id, '{code}' AS code, {detail} AS detail FROM {rest}"
+    rules = [
+        one("id-form", "app_id", f"e WHERE NOT regexp_matches(app_id, '{good}')"), one("no-name", "''", "e WHERE trim(name) = ''"), one("category", "coalesce(category, '')", f"e WHERE category IS NULL OR category NOT IN (SELECT c FROM {kinds} AS t(c))"),
+        one("homepage", "homepage", "e WHERE homepage <> '' AND NOT regexp_matches(homepage, '^https?://')"), one("no-platform", "''", "e WHERE NOT win AND NOT lin"),
+        one("portability", "coalesce(portability, '')", f"e WHERE portability IS NULL OR portability NOT IN (SELECT c FROM {ports} AS t(c))"),
+        one("manager-platform", "manager", "(SELECT DISTINCT app_id, manager FROM i WHERE owner <> os)"), one("package-blanks", "manager || ':' || package", "i WHERE trim(package) = '' OR trim(package) <> package"),
+        one("package-spaces", "manager || ':' || package", "i WHERE manager NOT IN ('snap', 'registry') AND regexp_matches(package, '[ \t]')"), one("empty-section", "os", "sec WHERE n = 0"),
+        one("path-key", "key", f"s WHERE NOT regexp_matches(key, '{good}')"),
+        one("path-prefix", "path", r"s WHERE NOT CASE WHEN os = 'linux' THEN regexp_matches(path, '^(~|\$XDG_(CONFIG|DATA|STATE)_HOME)/.') ELSE regexp_matches(path, '^%(APPDATA|LOCALAPPDATA|USERPROFILE)%/.') END"),
+        one("path-form", "path", r"s WHERE regexp_matches(path, '\\|//|/$|/\.\.?/')"), one("none-with-paths", "''", "e WHERE portability = 'none' AND app_id IN (SELECT app_id FROM s)"),
+        one("paths-missing", "''", "e WHERE portability <> 'none' AND app_id NOT IN (SELECT app_id FROM s)"),
+        one("no-shared-key", "''", "e WHERE portability = 'identical' AND app_id IN (SELECT app_id FROM s GROUP BY app_id HAVING count(DISTINCT os) = 2) AND app_id NOT IN (SELECT app_id FROM s GROUP BY app_id, key HAVING count(DISTINCT os) = 2)"),
+        one("exclude-form", "pattern", "x WHERE pattern = '' OR starts_with(pattern, '/') OR ends_with(pattern, '/')"), one("exclude-glob", "pattern", r"x WHERE regexp_matches(regexp_replace(pattern, '\[[^\]]+\]', '', 'g'), '[\[\\]')"),
+        one("own-equivalent", "''", "q WHERE eq = app_id"), one("equivalent-twice", "eq", "q GROUP BY app_id, eq HAVING count(*) > 1"), one("equivalent-unknown", "eq", "(SELECT DISTINCT app_id, eq FROM q WHERE eq NOT IN (SELECT app_id FROM e))"),
+        one("package-claimed", "manager || ':' || key", "(SELECT DISTINCT app_id, manager, key FROM k WHERE app_id <> (SELECT min(o.app_id) FROM k o WHERE o.manager = k.manager AND o.key = k.key))"),
+    ]
+    return f"""WITH e AS (SELECT * FROM {e} AS t(app_id, name, category, homepage, portability, win, lin)), i AS (SELECT * FROM {ids} AS t(app_id, os, manager, owner, package)), s AS (SELECT * FROM {spots} AS t(app_id, os, key, path)),
+        sec AS (SELECT * FROM {sections} AS t(app_id, os, n)), x AS (SELECT * FROM {excludes} AS t(app_id, pattern)), q AS (SELECT * FROM {equal} AS t(app_id, eq)),
+        k AS (SELECT app_id, manager, lower(CASE WHEN manager = 'snap' THEN string_split(package, ' ')[1] ELSE package END) AS key FROM i WHERE manager <> 'registry') """ + " UNION ALL ".join(rules)
+
+
 def sql() -> dict[str, str]:
     from quay import catalog
 
@@ -139,11 +227,12 @@ def sql() -> dict[str, str]:
     split, matched, plan = f"WITH {_roots()}", f"WITH {_sightings()}", f"WITH {_manifest()}"
     ratio = values([(lv, c, lo, hi, float(fixed.SPEED[lv] if c in ("text", "binary") else fixed.STORED_SPEED)) for lv, t in fixed.RATIOS.items() for c, (lo, hi) in t.items()])
     runtime = " OR ".join(f"starts_with(lower(trim(package)), '{p}')" for p in fixed.RUNTIME_PREFIXES)
-    reserved = ", ".join(f"'{n}'" for n in fixed.RESERVED_NAMES)
-    # each segment as it is (s) and with what Windows refuses replaced (w)
-    segment = f"""CASE WHEN x.s IN ('', '.') THEN x.s WHEN x.s = '..' THEN '_..' WHEN lower(CASE WHEN instr(x.w, '.') > 1 THEN string_split(x.w, '.')[1] ELSE x.w END) IN ({reserved}) THEN '_' || x.w ELSE x.w END"""
-    pairs = r"""list_transform(string_split(url, '/'), lambda s: {'s': s, 'w': coalesce(nullif(rtrim(regexp_replace(s, '[\x00-\x1f<>:"\\|?*]', '_', 'g'), '. '), ''), '_')})"""
-    windows = f"array_to_string(list_transform({pairs}, lambda x: {segment}), '/')"
+    globs = [(g.lower(), glob_regex(g.lower())) for g in catalog.GLOBS]
+    segment_globs, whole_globs = ([r for g, r in globs if r is not None and ("/" in g) == whole] for whole in (False, True))
+    windows, restore = _windows("url"), f"WITH {_restore()}"
+    no_line = r"""NOT (json_valid(text) AND CASE WHEN json_valid(text) THEN json_type(text) IN ('OBJECT', 'NULL') AND coalesce(json_type(text, '$.t'), 'NULL') IN ('VARCHAR', 'NULL') AND coalesce(json_type(text, '$.n'), 'NULL') IN ('UBIGINT', 'NULL')
+        AND coalesce(json_type(text, '$.at'), 'NULL') IN ('VARCHAR', 'NULL') AND coalesce(regexp_matches(text ->> '$.at', '^\d{4}-\d\d-\d\dT'), true) END)"""
+    broken = ", ".join("'" + x + "'" for x in catalog.TORN)
     out = {
         "file_classes": f"{scan} SELECT seq, class FROM classed",
         "class_buckets": f"{scan} SELECT * FROM buckets",
@@ -175,7 +264,8 @@ def sql() -> dict[str, str]:
         "sums_check": f"""{files}, want AS (SELECT path AS name, sha256 AS w FROM files WHERE seq % 13 <> 0), have AS (SELECT path AS name, CASE WHEN seq % 11 = 0 THEN upper(sha256) WHEN seq % 17 = 0 THEN NULL ELSE sha256 END AS h FROM files WHERE seq % 7 <> 3)
             SELECT * FROM (SELECT name, CASE WHEN w IS NOT NULL AND h IS NULL THEN 'unreadable' WHEN w <> h THEN 'checksum mismatch' WHEN w IS NULL THEN 'not in the sums' END AS problem FROM want FULL JOIN have USING (name)) WHERE problem IS NOT NULL""",
         "missing_volumes": "SELECT event_id AS volume, printf('volumes/%05d.vol', event_id) AS name FROM events WHERE event_id % 50 = 7",
-        "torn_journal": """SELECT event_id AS line, '{"t":"' || event_type || '"}' AS text FROM events WHERE event_id < coalesce((SELECT min(event_id) FROM events WHERE event_id % 4001 = 4000), 9000000000)""",
+        "torn_journal": f"""WITH j AS (SELECT event_id AS line, CASE WHEN event_id % 4001 = 4000 THEN ([{broken}])[event_id % {len(catalog.TORN)} + 1] WHEN event_id % 10 = 3 THEN '  ' ELSE '{{"t":"' || event_type || '","n":' || event_id || ',"extra":[1],"at":"2024-01-02T03:04:05Z"}}' END AS text FROM events),
+            f AS (SELECT * FROM j WHERE trim(text) <> '') SELECT * FROM f WHERE line < coalesce((SELECT min(line) FROM f WHERE {no_line}), 9000000000)""",
         "trailer_check": "SELECT user_id AS volume, count(*) AS in_stream, count(*) + CASE WHEN user_id % 9 = 0 THEN 1 ELSE 0 END AS in_trailer, CASE WHEN user_id % 10 <> 1 THEN count(*) ELSE -1 END AS in_index FROM events GROUP BY user_id HAVING user_id % 9 = 0 OR user_id % 10 = 1",
         "reassembly": f"""{package} SELECT m.seq, CASE WHEN bool_or(coalesce(block_id % 97 = 5, false)) THEN 'incomplete' WHEN bool_or(coalesce(block_id % 89 = 3 AND off = 0, false)) THEN 'damaged' ELSE 'ok' END AS status FROM mine m LEFT JOIN parts USING (seq) GROUP BY m.seq""",
         "sanitized": rf"""SELECT page_id, {windows} AS windows, url AS linux, CASE WHEN regexp_matches(regexp_extract(url, '([^/]*)$', 1), '^.+\.') THEN regexp_replace(url, '(\.[^./]*)$', ' (2)\1') ELSE url || ' (2)' END AS suffixed FROM pages""",
@@ -183,13 +273,13 @@ def sql() -> dict[str, str]:
         "unknown_apps": f"{matched} SELECT via, package, count(*) AS n, count(DISTINCT machine) AS machines FROM matched WHERE app_id IS NULL AND CASE WHEN via IN {fixed.DESKTOP_MANAGERS} THEN desktop WHEN via = 'registry' THEN NOT ({runtime}) ELSE true END GROUP BY via, package",
         "found_apps": f"{matched} SELECT machine, app_id, arg_min(version, seq) FILTER (version IS NOT NULL) AS version, string_agg(via || ':' || package, ',' ORDER BY seq) AS sources FROM matched WHERE app_id IS NOT NULL GROUP BY machine, app_id",
         "install_plan": f"""{plan} SELECT app_id, bucket, CASE WHEN stands_in THEN q ELSE app_id END AS target_id, CASE WHEN stands_in THEN q_via ELSE own_via END AS via, CASE WHEN stands_in THEN q_m ELSE own_m END AS manager, CASE WHEN stands_in THEN q_p ELSE own_p END AS package,
-            CASE WHEN bucket = 'no_source' THEN needs END AS needs, stands_in, CASE WHEN bucket = 'missing' THEN 'not in this database' END AS reason FROM plan""",
+            CASE WHEN bucket = 'no_source' THEN needs END AS needs, stands_in, CASE WHEN bucket = 'missing' THEN 'unknown-app' END AS reason FROM plan""",
         "config_plan": f"""{plan}, c AS (SELECT app_id, CAST(v.ord AS BIGINT) AS ord, key, variant FROM spots, (VALUES (0, 'flatpak'), (1, ''), (2, 'snap')) AS v(ord, variant) WHERE os = 'windows'),
             j AS (SELECT c.*, apps.is_on, portability, s.path, CASE WHEN here.via = 'flatpak' THEN 'flatpak' ELSE '' END AS want, here.via IS NULL AND (p.bucket IS NULL OR p.bucket <> 'install' OR p.stands_in) AS absent FROM c LEFT JOIN apps USING (app_id) LEFT JOIN spots s ON s.app_id = c.app_id AND s.key = c.key AND s.os = 'linux' LEFT JOIN here ON here.app_id = c.app_id LEFT JOIN plan p ON p.app_id = c.app_id),
-            w AS (SELECT *, CASE WHEN is_on IS NULL THEN 'not in this database' WHEN NOT is_on THEN 'the application has no version for this platform' WHEN path IS NULL THEN 'no location for this configuration on this platform' WHEN portability = 'translatable' THEN 'the configuration needs translating between platforms, which is not done'
-              WHEN portability = 'untranslatable' THEN 'the configuration is bound to the platform it came from' WHEN portability <> 'identical' THEN 'the configuration does not travel between platforms' WHEN absent THEN 'the application is not installed here and is not being installed' END AS why FROM j),
+            w AS (SELECT *, CASE WHEN is_on IS NULL THEN 'unknown-app' WHEN NOT is_on THEN 'no-version' WHEN path IS NULL THEN 'no-location' WHEN portability = 'translatable' THEN 'needs-translation'
+              WHEN portability = 'untranslatable' THEN 'platform-bound' WHEN portability <> 'identical' THEN 'does-not-travel' WHEN absent THEN 'app-absent' END AS why FROM j),
             b AS (SELECT *, row_number() OVER (PARTITION BY app_id, key ORDER BY CASE WHEN variant = want THEN 0 WHEN variant = '' THEN 1 ELSE 2 END, ord) = 1 AND why IS NULL AS chosen FROM w)
-            SELECT app_id, ord, key, variant, CASE WHEN chosen THEN 'place' ELSE 'aside' END AS action, CASE WHEN chosen THEN replace(path, '~', '/home/u') END AS dest, CASE WHEN NOT chosen THEN coalesce(why, 'another copy of this configuration is placed instead') END AS reason FROM b""",
+            SELECT app_id, ord, key, variant, CASE WHEN chosen THEN 'place' ELSE 'aside' END AS action, CASE WHEN chosen THEN replace(path, '~', '/home/u') END AS dest, CASE WHEN NOT chosen THEN coalesce(why, 'other-copy-placed') END AS reason FROM b""",
         "install_commands": f"""{plan}, i AS (SELECT DISTINCT pos, own_m AS manager, own_p AS package FROM plan WHERE bucket = 'install' AND NOT stands_in)
             SELECT row_number() OVER (ORDER BY r, step) - 1 AS n, manager, argv, env, prep, batch FROM (
               SELECT 0 AS r, 1 AS step, manager, 'sudo pacman -Syu --needed --noconfirm ' || string_agg(package, ' ' ORDER BY pos) AS argv, '' AS env, false AS prep, true AS batch FROM i WHERE manager = 'pacman' GROUP BY manager
@@ -199,7 +289,15 @@ def sql() -> dict[str, str]:
         "resolved_paths": """SELECT page_id, CASE page_id % 5 WHEN 4 THEN NULL ELSE CASE page_id % 3 WHEN 0 THEN CASE page_id % 5 WHEN 0 THEN '/home/u' WHEN 1 THEN '/home/u/.config' WHEN 2 THEN '/data' ELSE '/home/u/.local/state' END
             WHEN 1 THEN '/home/u/.var/app/org.x' || CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '/config' WHEN 2 THEN '/data' ELSE '/.local/state' END
             ELSE '/home/u/snap/org.x/current' || CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN '/.config' WHEN 2 THEN '/.local/share' ELSE '/.local/state' END END || '/app/' || page_id END AS abs FROM pages""",
-        "excluded_globs": f"{files}, r AS (SELECT seq, lower(path[9:]) AS rel FROM files) SELECT seq, len(list_filter(string_split(rel, '/'), lambda s: regexp_full_match(s, 'f[^/]|[^/]*\\.jpg|[^/]*[7-9]\\.md'))) > 0 OR regexp_full_match(rel, 'documents/[^/]*/f1[^/]*') AS excluded FROM r",
+        "excluded_globs": f"{files}, r AS (SELECT seq, lower(path[9:]) AS rel FROM files) SELECT seq, len(list_filter(string_split(rel, '/'), lambda s: {' OR '.join(f"regexp_full_match(s, '{g}')" for g in segment_globs)})) > 0 OR {' OR '.join(f"regexp_full_match(rel, '{g}')" for g in whole_globs)} AS excluded FROM r",
+    }
+    out |= {
+        "conflict_actions": f"{restore} SELECT root, path, to_root, dest, action, renamed, exists, note FROM items",
+        "restore_totals": f"{restore} SELECT count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, count(*) FILTER (exists) AS conflicts, count(*) FILTER (renamed) AS renamed, 0 AS skipped FROM items",
+        "restore_roots": f"{restore} SELECT to_root, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM items GROUP BY to_root",
+        "collision_rename": f"WITH {_entries()}, c AS (SELECT root, path, {_windows('path')} AS clean FROM entries), r AS (SELECT *, row_number() OVER (PARTITION BY root, lower(clean) ORDER BY root, path) AS k FROM c) SELECT root, path, clean, {_renamed('clean', 'k')} AS final FROM r",
+        "codec_round_trip": f"{files} SELECT seq AS block_id, (['stored', 'deflate', 'zstd', 'xz'])[seq % 4 + 1] AS codec, size AS raw, true AS ok FROM files",
+        "appdb_problems": _problems(),
     }
     out["human_sizes"] = rf"{files} SELECT seq, {human} AS shown, trim(reverse(regexp_replace(reverse(CAST(size AS VARCHAR)), '([0-9]{{3}})', '\1 ', 'g'))) AS counted FROM files"
     return out

@@ -67,14 +67,14 @@ def by_category(apps: DataFrame, db: AppDb) -> DataFrame:
 
 def resolve(spots: DataFrame, *, home: str, env: dict[str, str] | None = None) -> DataFrame:
     """Adds ``abs`` to (os, variant, sandbox, path): where a database path lies here, null where it can't be told."""
-    rows = [(o, v, p, t) for o, v, p, t in fixed.PREFIXES]
-    dim = local.table(spots.sparkSession, rows, "os string, variant string, _prefix string, _base string")
+    prefix, under = local.free(spots, "prefix", "base")
+    dim = local.table(spots.sparkSession, list(fixed.PREFIXES), f"os string, variant string, {prefix} string, {under} string")
     for name, value in (env or {}).items():
-        own = (F.col("variant") == "") & F.col("_prefix").isin(f"${name}", f"%{name}%")
-        dim = dim.withColumn("_base", F.when(own & F.lit(value != ""), F.lit(value)).otherwise(F.col("_base")))
+        own = (F.col("variant") == "") & F.col(prefix).isin(f"${name}", f"%{name}%")
+        dim = dim.withColumn(under, F.when(own & F.lit(value != ""), F.lit(value)).otherwise(F.col(under)))
     rest = F.regexp_extract("path", "^[^/]*/(.+)$", 1)
-    joined = spots.withColumn("_prefix", F.when(rest != "", F.regexp_extract("path", "^([^/]*)/", 1))).join(dim, ["os", "variant", "_prefix"], "left")
-    base = F.replace(F.replace(F.col("_base"), F.lit("{home}"), F.lit(home)), F.lit("{app}"), F.coalesce("sandbox", F.lit("")))
+    joined = spots.withColumn(prefix, F.when(rest != "", F.regexp_extract("path", "^([^/]*)/", 1))).join(dim, ["os", "variant", prefix], "left")
+    base = F.replace(F.replace(F.col(under), F.lit("{home}"), F.lit(home)), F.lit("{app}"), F.coalesce("sandbox", F.lit("")))
     return joined.select(*spots.columns, F.when(F.lit(home != "") & (rest != ""), F.concat(base, F.lit("/"), rest)).alias("abs"))
 
 
@@ -102,8 +102,9 @@ def config_filter(files: DataFrame, locations: DataFrame, db: AppDb) -> DataFram
 def excluded(rels: DataFrame, db: AppDb) -> DataFrame:
     """Adds ``excluded`` to (app_id, rel): a pattern with a slash matches the whole path, one without any segment, in any case."""
     rel = F.lower(F.regexp_replace(F.translate("rel", "\\", "/"), "^/+|/+$", ""))
-    regex = db.excludes.select("app_id", paths.glob_regex(F.lower("pattern")).alias("_re"), F.col("pattern").contains("/").alias("_whole")).where(paths.glob_valid(F.col("pattern")))
-    lists = regex.groupBy("app_id").agg(F.collect_list(F.struct("_re", "_whole")).alias("_pats"))  # an entry has a few patterns
-    rows = rels.join(lists, "app_id", "left").withColumn("_rel", rel)
-    hit = F.expr("exists(_pats, p -> case when p._whole then _rel rlike p._re else exists(split(_rel, '/'), s -> s rlike p._re) end)")
-    return rows.withColumn("excluded", F.coalesce(hit, F.lit(False))).select(*rels.columns, "excluded")
+    pats, mine = local.free(rels, "pats", "rel")
+    regex = db.excludes.select("app_id", paths.glob_regex(F.lower("pattern")).alias("re"), F.col("pattern").contains("/").alias("whole")).where(paths.glob_valid(F.col("pattern")))
+    lists = regex.groupBy("app_id").agg(F.collect_list(F.struct("re", "whole")).alias(pats))  # an entry has a few patterns
+    rows = rels.withColumn(mine, rel).join(lists, "app_id", "left")
+    hit = F.exists(pats, lambda p: F.when(p["whole"], F.rlike(F.col(mine), p["re"])).otherwise(F.exists(F.split(mine, "/"), lambda s: F.rlike(s, p["re"]))))
+    return rows.select(*rels.columns, F.coalesce(hit, F.lit(False)).alias("excluded"))

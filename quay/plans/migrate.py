@@ -18,9 +18,9 @@ from quay.functions import fixed, local
 from quay.plans.detect import resolve
 from quay.sources.appdb import AppDb
 
-NOT_HERE = "not in this database"
-NO_EQUIVALENT = "no version for this platform and no equivalent listed"
-NONE_USABLE = "no version for this platform; none of the listed equivalents can be installed here"
+#: Reasons, as codes.
+NOT_HERE, NO_EQUIVALENT, NONE_USABLE = "unknown-app", "no-equivalent", "no-usable-equivalent"
+NO_VERSION, NO_LOCATION, TRANSLATE, BOUND, STAYS, ABSENT, UNRESOLVED, OTHER_COPY = "no-version", "no-location", "needs-translation", "platform-bound", "does-not-travel", "app-absent", "unresolved-location", "other-copy-placed"
 
 
 @dataclass
@@ -120,13 +120,13 @@ def config_plan(manifest: DataFrame, configs: DataFrame, db: AppDb, target: Targ
     rows = resolve(rows, home=target.home, env=target.env)
     crossing = F.lit(source_os != target.os)
     reason = (
-        F.when(F.col("on").isNull(), NOT_HERE).when(~F.col("on"), "the application has no version for this platform")
-        .when(F.col("path").isNull(), "no location for this configuration on this platform")
-        .when(crossing & (F.col("portability") == "translatable"), "the configuration needs translating between platforms, which is not done")
-        .when(crossing & (F.col("portability") == "untranslatable"), "the configuration is bound to the platform it came from")
-        .when(crossing & (F.col("portability") != "identical"), "the configuration does not travel between platforms")
-        .when(F.col("h_variant").isNull() & F.col("manager").isNull(), "the application is not installed here and is not being installed")
-        .when(F.col("abs").isNull(), "the location cannot be resolved on this system")
+        F.when(F.col("on").isNull(), NOT_HERE).when(~F.col("on"), NO_VERSION)
+        .when(F.col("path").isNull(), NO_LOCATION)
+        .when(crossing & (F.col("portability") == "translatable"), TRANSLATE)
+        .when(crossing & (F.col("portability") == "untranslatable"), BOUND)
+        .when(crossing & (F.col("portability") != "identical"), STAYS)
+        .when(F.col("h_variant").isNull() & F.col("manager").isNull(), ABSENT)
+        .when(F.col("abs").isNull(), UNRESOLVED)
     )
     rank = F.when(F.col("from_variant") == F.col("variant"), 0).when(F.col("from_variant") == "", 1).otherwise(2)
     rows = rows.withColumns({"reason": reason, "_rank": rank})
@@ -134,7 +134,7 @@ def config_plan(manifest: DataFrame, configs: DataFrame, db: AppDb, target: Targ
     chosen = F.col("reason").isNull() & (F.col("ord") == F.col("_best"))
     return rows.join(best, ["app_id", "key"]).select(
         "app_id", "ord", "key", F.col("from_variant").alias("variant"), F.when(chosen, "place").otherwise("aside").alias("action"), F.when(chosen, F.col("abs")).alias("dest"),
-        F.when(~chosen, F.coalesce("reason", F.lit("another copy of this configuration is placed instead"))).alias("reason"),
+        F.when(~chosen, F.coalesce("reason", F.lit(OTHER_COPY))).alias("reason"),
     )
 
 
@@ -183,6 +183,23 @@ def needs_elevation(cmds: DataFrame, target: Target) -> DataFrame:
     return cmds.agg(F.coalesce(F.bool_or(F.col("manager").isin(*fixed.ROOT_MANAGERS)), F.lit(False)).alias("any")).select((F.col("any") & F.lit(not able)).alias("needs_elevation"))
 
 
+def retried(steps: DataFrame, singles: DataFrame) -> DataFrame:
+    """``outcomes`` with ``failed``, the packages that failed, and ``ok``.
+
+    steps: run, manager, n, prep, batch, packages, exit. singles: run, n, package, exit of a batch's packages tried one by one, which a failed batch of
+    several packages is; it is ok if all of them are.
+    """
+    rows = outcomes(steps).withColumnRenamed("packages", "listed")
+    alone = singles.groupBy("run", "n").agg(F.array_sort(F.collect_list(F.when(F.col("exit") != 0, F.col("package")))).alias("again"))
+    tried = (F.col("outcome") == "failed") & ~F.col("prep")
+    several = F.col("batch") & (F.size("listed") > 1)
+    none = F.array().cast("array<string>")
+    failed = F.when(tried & several, F.coalesce("again", none)).when(tried, F.col("listed")).otherwise(none)
+    joined = rows.join(alone, ["run", "n"], "left").withColumn("failed", failed)
+    ok = F.when(tried & several, F.size("failed") == 0).otherwise(F.col("outcome") == "ok")
+    return joined.select("run", "manager", "n", "outcome", "failed", ok.alias("ok"))
+
+
 def outcomes(steps: DataFrame, by: Column | str = "run") -> DataFrame:
     """What becomes of commands (run, manager, n, prep, exit): after a failed preparation the manager's later commands are skipped."""
     from pyspark.sql import Window

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quay.functions import fixed, local, paths
 
 PLATFORM = "struct<" + ", ".join(f"{m}: array<string>" for m in fixed.MANAGERS) + ", paths: map<string, string>>"
-SCHEMA = f"id string, name string, category string, homepage string, windows {PLATFORM}, linux {PLATFORM}, config struct<portability: string, exclude: array<string>, notes: string>, equivalents array<string>"
+SCHEMA = f"id string, name string, summary string, category string, homepage string, license string, windows {PLATFORM}, linux {PLATFORM}, config struct<portability: string, exclude: array<string>, notes: string>, equivalents array<string>"
 
 
 @dataclass
@@ -34,11 +34,35 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("file", F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1))
 
 
+#: The fields that an entry, its platforms and its configuration may have.
+FIELDS = {
+    "": ("id", "name", "summary", "category", "homepage", "license", "windows", "linux", "config", "equivalents"),
+    "windows": (*fixed.MANAGERS, "paths"), "linux": (*fixed.MANAGERS, "paths"), "config": ("portability", "exclude", "notes"),
+}
+
+
+def unknown_in(texts: DataFrame) -> DataFrame:
+    """(file, field) for fields of entries (file, text) that no entry has, at any level."""
+    out = []
+    for part, known in FIELDS.items():
+        inside = F.col("text") if not part else F.get_json_object("text", f"$.{part}")
+        keys = F.explode(F.map_keys(F.from_json(inside, "map<string, string>"))).alias("field")
+        named = F.concat(F.lit(f"{part}." if part else ""), F.col("field"))
+        out.append(texts.select("file", keys).where(~F.col("field").isin(*known)).select("file", named.alias("field")))
+    joined = out[0]
+    for x in out[1:]:
+        joined = joined.unionByName(x)
+    return joined
+
+
 def unknown_fields(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, field) for fields that no entry has, at the top level."""
-    texts = spark.read.text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("file"), F.from_json("value", "map<string, string>").alias("m"))
-    known = ("id", "name", "category", "homepage", "windows", "linux", "config", "equivalents")
-    return texts.select("file", F.explode(F.map_keys("m")).alias("field")).where(~F.col("field").isin(*known))
+    """(file, field) of ``unknown_in`` for the entries of a folder."""
+    return unknown_in(read_texts(spark, folder))
+
+
+def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, text) of a folder's entries; ``file`` is the file's name without its ending."""
+    return spark.read.text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("file"), F.col("value").alias("text"))
 
 
 def from_json(spark: SparkSession, texts: list[str]) -> DataFrame:
@@ -144,11 +168,19 @@ def _registry(raw: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def load(raw: DataFrame, *, strict: bool = True) -> AppDb:
+def load_folder(spark: SparkSession, folder: str, *, strict: bool = True) -> AppDb:
+    """The database in a folder of JSON files; fields that no entry has are problems too."""
+    return load(read(spark, folder), strict=strict, unknown=unknown_fields(spark, folder))
+
+
+def load(raw: DataFrame, *, strict: bool = True, unknown: DataFrame | None = None) -> AppDb:
     """The database; with any problem ``strict`` refuses it, otherwise links to missing entries are left out."""
     db = normalise(raw)
     if strict:
-        found = problems(db).limit(20).collect()
+        rows = problems(db)
+        if unknown is not None:
+            rows = rows.unionByName(unknown.select(F.col("file").alias("app_id"), F.lit("unknown-field").alias("code"), F.col("field").alias("detail")))
+        found = rows.limit(20).collect()
         if found:
             raise ValueError("; ".join(f"{r.app_id}: {r.code} {r.detail}".strip() for r in found))
     else:
@@ -156,12 +188,12 @@ def load(raw: DataFrame, *, strict: bool = True) -> AppDb:
     return db
 
 
-#: Six entries to try things with.
+#: Six invented entries to try things with.
 SAMPLE = [
-    '{"id":"firefox","name":"Firefox","category":"browser","windows":{"winget":["Mozilla.Firefox"],"registry":["Mozilla Firefox"],"paths":{"profiles":"%APPDATA%/Mozilla/Firefox"}},"linux":{"pacman":["firefox"],"apt":["firefox","firefox-esr"],"flatpak":["org.mozilla.firefox"],"paths":{"profiles":"~/.mozilla/firefox"}},"config":{"portability":"identical","exclude":["cache2"]}}',
-    '{"id":"vlc","name":"VLC","category":"media-player","windows":{"winget":["VideoLAN.VLC"],"registry":["VLC media player"],"paths":{"config":"%APPDATA%/vlc"}},"linux":{"pacman":["vlc"],"apt":["vlc"],"paths":{"config":"$XDG_CONFIG_HOME/vlc"}},"config":{"portability":"translatable"}}',
-    '{"id":"notepad-plus-plus","name":"Notepad++","category":"editor","windows":{"winget":["Notepad++.Notepad++"],"registry":["Notepad++"],"paths":{"config":"%APPDATA%/Notepad++"}},"config":{"portability":"untranslatable"},"equivalents":["kate"]}',
-    '{"id":"kate","name":"Kate","category":"editor","windows":{"winget":["KDE.Kate"]},"linux":{"pacman":["kate"],"apt":["kate"],"flatpak":["org.kde.kate"],"paths":{"config":"$XDG_CONFIG_HOME/kate"}},"config":{"portability":"identical"}}',
-    '{"id":"spotify","name":"Spotify","category":"music","windows":{"winget":["Spotify.Spotify"]},"linux":{"flatpak":["com.spotify.Client"],"snap":["spotify"]},"config":{"portability":"none"}}',
-    '{"id":"git","name":"Git","category":"vcs","windows":{"winget":["Git.Git"],"registry":["Git"],"paths":{"gitconfig":"%USERPROFILE%/.gitconfig"}},"linux":{"pacman":["git"],"apt":["git"],"paths":{"gitconfig":"~/.gitconfig"}},"config":{"portability":"identical"}}',
+    '{"id":"heron","name":"Heron Browser","summary":"A browser","license":"MIT","category":"browser","windows":{"winget":["Quill.Heron"],"registry":["Heron Browser"],"paths":{"profiles":"%APPDATA%/Quill/Heron"}},"linux":{"pacman":["heron"],"apt":["heron","heron-lts"],"flatpak":["org.quill.heron"],"paths":{"profiles":"~/.heron/main"}},"config":{"portability":"identical","exclude":["cache2"]}}',
+    '{"id":"lark","name":"Lark","category":"media-player","windows":{"winget":["Meadow.Lark"],"registry":["Lark media player"],"paths":{"config":"%APPDATA%/lark"}},"linux":{"pacman":["lark"],"apt":["lark"],"paths":{"config":"$XDG_CONFIG_HOME/lark"}},"config":{"portability":"translatable"}}',
+    '{"id":"scribble-plus","name":"Scribble+","category":"editor","windows":{"winget":["Scribble.Plus"],"registry":["Scribble+"],"paths":{"config":"%APPDATA%/Scribble+"}},"config":{"portability":"untranslatable"},"equivalents":["kestrel"]}',
+    '{"id":"kestrel","name":"Kestrel","category":"editor","windows":{"winget":["Fen.Kestrel"]},"linux":{"pacman":["kestrel"],"apt":["kestrel"],"flatpak":["org.fen.kestrel"],"paths":{"config":"$XDG_CONFIG_HOME/kestrel"}},"config":{"portability":"identical"}}',
+    '{"id":"warble","name":"Warble","category":"music","windows":{"winget":["Warble.Warble"]},"linux":{"flatpak":["com.warble.Client"],"snap":["warble"]},"config":{"portability":"none"}}',
+    '{"id":"rook","name":"Rook","category":"vcs","windows":{"winget":["Rook.Rook"],"registry":["Rook"],"paths":{"rookconfig":"%USERPROFILE%/.rookconfig"}},"linux":{"pacman":["rook"],"apt":["rook"],"paths":{"rookconfig":"~/.rookconfig"}},"config":{"portability":"identical"}}',
 ]

@@ -25,8 +25,13 @@ def write_sums(sums: DataFrame, path: str) -> None:
 
 
 def read_sums(spark: SparkSession, path: str) -> DataFrame:
-    """name, sha256, bad: lines without two blanks or a hash of 64 digits are bad."""
-    lines = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''")
+    """``parsed_sums`` of a file."""
+    return parsed_sums(spark.read.text(path))
+
+
+def parsed_sums(texts: DataFrame) -> DataFrame:
+    """name, sha256, bad of lines (value): those without two blanks or a hash of 64 digits are bad."""
+    lines = texts.select(F.trim("value").alias("v")).where("v <> ''")
     sha, name = F.substring_index("v", "  ", 1), F.regexp_extract("v", "^.*?  (.*)$", 1)
     return lines.select(name.alias("name"), sha.alias("sha256"), (~F.col("v").contains("  ") | ~sha.rlike("^[0-9a-fA-F]{64}$")).alias("bad"))
 
@@ -47,7 +52,16 @@ def write_manifest(row: DataFrame, path: str) -> None:
 
 def read_manifest(spark: SparkSession, path: str, newest: int = 1) -> DataFrame:
     """The manifest with ``problem``: not a package, or of a newer format."""
-    rows = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    return judged(spark.read.schema(MANIFEST).option("multiLine", True).json(path), newest)
+
+
+def manifests(texts: DataFrame, column: str, newest: int = 1) -> DataFrame:
+    """The same of manifests that are JSON texts in a column, beside the other columns."""
+    others = [c for c in texts.columns if c != column]
+    return judged(texts.select(*others, F.from_json(column, MANIFEST).alias(column)).select(*others, f"{column}.*"), newest)
+
+
+def judged(rows: DataFrame, newest: int) -> DataFrame:
     return rows.withColumn("problem", F.when(F.col("id").isNull(), "not a package").when(F.col("format") > newest, "newer format"))
 
 

@@ -38,13 +38,13 @@ def test_parsers(spark):
 
 def test_matching(spark, db):
     seen = [
-        ("winget", "mozilla.firefox", None, "firefox"), ("apt", "firefox-esr", None, "firefox"), ("dnf", "firefox", None, None), ("pacman", "git", None, "git"), ("snap", "spotify --classic", None, "spotify"),
-        ("registry", "", "Mozilla Firefox (x64 en-US)", "firefox"), ("registry", "", "mozilla firefox", "firefox"), ("registry", "", "Git", "git"), ("registry", "", "Gitter Widget 2.0", None), ("registry", "", "Notepad++ (64-bit x64)", "notepad-plus-plus"), ("registry", "", "GitHub Desktop", None),
+        ("winget", "quill.heron", None, "heron"), ("apt", "heron-lts", None, "heron"), ("dnf", "heron", None, None), ("pacman", "rook", None, "rook"), ("snap", "warble --classic", None, "warble"),
+        ("registry", "", "Heron Browser (x64 de)", "heron"), ("registry", "", "heron browser", "heron"), ("registry", "", "Rook", "rook"), ("registry", "", "Rookery Widget 2.0", None), ("registry", "", "Scribble+ (64-bit)", "scribble-plus"), ("registry", "", "RookHub Bench", None),
     ]
     frame = spark.createDataFrame([(i, v, p, None, n, False) for i, (v, p, n, _) in enumerate(seen)], "seq long, via string, package string, version string, name string, desktop boolean")
     found = detect.match(frame, db)
     assert {r.seq: r.app_id for r in found.collect()} == {i: a for i, (*_, a) in enumerate(seen)}
-    assert {r.name for r in detect.unknown(found).where("via = 'registry'").collect()} == {"Gitter Widget 2.0", "GitHub Desktop"}
+    assert {r.name for r in detect.unknown(found).where("via = 'registry'").collect()} == {"Rookery Widget 2.0", "RookHub Bench"}
 
 
 def test_paths(spark):
@@ -67,22 +67,22 @@ def test_globs(spark):
 
 
 def test_plan(spark, db):
-    manifest = spark.createDataFrame([(0, "firefox", "Firefox", False), (1, "notepad-plus-plus", "Notepad++", False), (2, "spotify", "Spotify", False), (3, "git", "Git", True), (4, "ghost", "Ghost", False), (5, "kate", "Kate", False)], "pos long, app_id string, name string, config_only boolean")
+    manifest = spark.createDataFrame([(0, "heron", "Heron Browser", False), (1, "scribble-plus", "Scribble+", False), (2, "warble", "Warble", False), (3, "rook", "Rook", True), (4, "ghost", "Ghost", False), (5, "kestrel", "Kestrel", False)], "pos long, app_id string, name string, config_only boolean")
     none = spark.createDataFrame([], "seq long, app_id string, via string, package string")
     target = migrate.Target("linux", ["pacman"], none, home="/home/u")
     got = {r.app_id: r for r in migrate.decided(manifest, db, target).collect()}
-    assert {a: r.bucket for a, r in got.items()} == {"firefox": "install", "notepad-plus-plus": "install", "spotify": "no_source", "ghost": "missing", "kate": "install"}
-    assert got["spotify"].needs == ["flatpak", "snap"] and got["ghost"].reason == migrate.NOT_HERE
+    assert {a: r.bucket for a, r in got.items()} == {"heron": "install", "scribble-plus": "install", "warble": "no_source", "ghost": "missing", "kestrel": "install"}
+    assert got["warble"].needs == ["flatpak", "snap"] and got["ghost"].reason == migrate.NOT_HERE
     install = {r.target_id: r for r in migrate.items(migrate.decided(manifest, db, target), "install").collect()}
-    assert install["kate"]["for"] == ["notepad-plus-plus"] and set(install) == {"firefox", "kate"}
-    configs = spark.createDataFrame([("firefox", 0, "profiles", "", False), ("firefox", 1, "profiles", "flatpak", False), ("git", 0, "gitconfig", "", True), ("notepad-plus-plus", 0, "config", "", False)], "app_id string, ord long, key string, variant string, file boolean")
+    assert install["kestrel"]["for"] == ["scribble-plus"] and set(install) == {"heron", "kestrel"}
+    configs = spark.createDataFrame([("heron", 0, "profiles", "", False), ("heron", 1, "profiles", "flatpak", False), ("rook", 0, "rookconfig", "", True), ("scribble-plus", 0, "config", "", False)], "app_id string, ord long, key string, variant string, file boolean")
     placed = {(r.app_id, r.ord): (r.action, r.dest) for r in migrate.config_plan(manifest, configs, db, target, "windows").collect()}
-    assert placed == {("firefox", 0): ("place", "/home/u/.mozilla/firefox"), ("firefox", 1): ("aside", None), ("git", 0): ("aside", None), ("notepad-plus-plus", 0): ("aside", None)}
+    assert placed == {("heron", 0): ("place", "/home/u/.heron/main"), ("heron", 1): ("aside", None), ("rook", 0): ("aside", None), ("scribble-plus", 0): ("aside", None)}
     roots = migrate.placed_roots(migrate.config_plan(manifest, configs, db, target, "windows"))
-    assert rows(roots) == [("apps/firefox/profiles", "/home/u/.mozilla/firefox")]
-    assert rows(detect.by_category(manifest, db))[:2] == [("browser", 1, ["Firefox"]), ("editor", 2, ["Kate", "Notepad++"])]
+    assert rows(roots) == [("apps/heron/profiles", "/home/u/.heron/main")]
+    assert rows(detect.by_category(manifest, db))[:2] == [("browser", 1, ["Heron Browser"]), ("editor", 2, ["Kestrel", "Scribble+"])]
     cmds = migrate.commands(migrate.items(migrate.decided(manifest, db, target), "install"), target).collect()
-    assert [r.argv for r in cmds] == [["sudo", "pacman", "-Syu", "--needed", "--noconfirm", "firefox", "kate"]]
+    assert [r.argv for r in cmds] == [["sudo", "pacman", "-Syu", "--needed", "--noconfirm", "heron", "kestrel"]]
     one = spark.createDataFrame([(0, "snap", "code --classic"), (1, "snap", "b"), (2, "apt", "x")], "pos long, manager string, package string")
     lines = [" ".join(r.argv) for r in migrate.commands(one, migrate.Target("linux", ["apt", "snap"], none, elevator="")).orderBy("n").collect()]
     assert lines == ["apt-get update", "apt-get install -y x", "snap install code --classic", "snap install b"]
@@ -95,8 +95,8 @@ def test_validation(spark):
 
 
 def test_json_folder(spark, tmp_path):
-    (tmp_path / "vlc.json").write_text(appdb.SAMPLE[1])
+    (tmp_path / "lark.json").write_text(appdb.SAMPLE[1])
     (tmp_path / "wrong.json").write_text(appdb.SAMPLE[4].replace('"category"', '"extra":1,"category"'))
     found = appdb.read(spark, str(tmp_path))
-    assert rows(appdb.problems(appdb.normalise(found)).select("app_id", "code")) == [("spotify", "id-file")]
+    assert rows(appdb.problems(appdb.normalise(found)).select("app_id", "code")) == [("warble", "id-file")]
     assert rows(appdb.unknown_fields(spark, str(tmp_path))) == [("wrong", "extra")]

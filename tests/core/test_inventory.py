@@ -4,8 +4,8 @@ from quay.functions import paths
 from quay.operators import inventory
 
 TREE = [
-    ("Documents/raport.txt", 5000), ("Documents/contract.docx", 20000), ("Pictures/vacanta.jpg", 900000), ("Pictures/schita.bmp", 40000), ("proiect/main.go", 3000),
-    ("proiect/node_modules/pachet/a.js", 700000), ("proiect/.git/objects/abc", 250000), (".cache/browser/blob", 400000), (".ssh/id_rsa", 2000), (".env", 300),
+    ("Documents/report.txt", 5000), ("Documents/lease.docx", 20000), ("Pictures/holiday.jpg", 900000), ("Pictures/sketch.bmp", 40000), ("work/main.go", 3000),
+    ("work/node_modules/parcel/a.js", 700000), ("work/.git/objects/abc", 250000), (".cache/browser/blob", 400000), (".ssh/id_rsa", 2000), (".env", 300),
 ]
 
 
@@ -22,16 +22,16 @@ def test_small_tree(spark, scan):
     assert sum(r.files for r in inventory.secret_bucket(scan).collect()) == 2
     assert sum(r.files for r in inventory.by_class(scan, with_secrets=True).collect()) == 7
     top = inventory.largest(scan, 3).collect()
-    assert [r.path for r in top][0] == "Pictures/vacanta.jpg" and len(top) == 3
+    assert [r.path for r in top][0] == "Pictures/holiday.jpg" and len(top) == 3
     allowed = inventory.scanned(scan.select("seq", "path", "size"), rules=inventory.rule_dim(spark, ("NODE_MODULES",)))
     assert sum(r.files for r in inventory.by_class(allowed).collect()) == 6
 
 
 CLASSES = {
-    "incompressible": "poza.jpg|POZA.JPEG|/home/x/Videos/film.mkv|melodie.flac|arhiva.tar.gz|raport.docx|carte.epub|manual.pdf|poza.jpg.orig|dir\\file.jpg",
-    "binary": "program.exe|libc.so|disc.iso|masina.qcow2|vechi.doc|font.ttf",
-    "text": "note.txt|main.go|date.json|jurnal.log|dump.sql|desen.svg|captura.bmp|sunet.wav|Makefile|README|/home/x/.bashrc|/home/x/.gitignore|config.json.bak|x.ts",
-    "unknown": "ceva-ciudat|date.xyzzy|a.|.env.local",
+    "incompressible": "photo.jpg|PHOTO.JPEG|/home/x/Videos/movie.mkv|song.flac|bundle.tar.gz|report.docx|book.epub|manual.pdf|photo.jpg.orig|dir\\file.jpg",
+    "binary": "tool.exe|libc.so|disk.iso|machine.qcow2|old.doc|font.ttf",
+    "text": "memo.txt|main.go|rows.json|diary.log|tables.sql|drawing.svg|shot.bmp|sound.wav|Makefile|README|/home/x/.bashrc|/home/x/.gitignore|config.json.bak|x.ts",
+    "unknown": "odd-thing|rows.xyzzy|a.|.env.local",
 }
 
 
@@ -42,8 +42,8 @@ def test_classes(spark):
 
 
 def test_secrets_and_rules(spark):
-    secret = "/home/x/.ssh/id_rsa /home/x/.ssh/config /home/x/.gnupg/secring.gpg /home/x/.aws/credentials /home/x/proiect/.env /home/x/proiect/.env.local /home/x/server.pem /home/x/cert.pfx /home/x/parole.kdbx /home/x/.netrc C:\\Users\\x\\.kube\\config".split()
-    safe = "/home/x/Documents/raport.docx /home/x/environment.txt /home/x/env.md /home/x/poze/cheie.jpg /home/x/Documents/keynote.txt".split()
+    secret = "/home/x/.ssh/id_rsa /home/x/.ssh/config /home/x/.gnupg/secring.gpg /home/x/.aws/credentials /home/x/work/.env /home/x/work/.env.local /home/x/server.pem /home/x/cert.pfx /home/x/secrets.kdbx /home/x/.netrc C:\\Users\\x\\.kube\\config".split()
+    safe = "/home/x/Documents/report.docx /home/x/environment.txt /home/x/env.md /home/x/photos/key.jpg /home/x/Documents/keymemo.txt".split()
     rows = spark.createDataFrame([(p,) for p in secret + safe], "path string")
     found = {r.path: r.secret for r in inventory.secrets(rows).collect()}
     assert all(found[p] for p in secret) and not any(found[p] for p in safe)

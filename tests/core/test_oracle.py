@@ -6,13 +6,15 @@ import os
 import __spark_entry__ as entry
 import duckdb
 import pytest
-from quay import catalog
+from quay import catalog, registry
 
 SF = "/root/testdata/sf0.001"
 QUICK = [
     "file_classes", "class_buckets", "skipped_by_rule", "secret_buckets", "largest_files", "estimate_levels", "human_sizes", "root_split", "root_summary", "file_dedup",
     "solid_parts", "stored_parts", "block_parts", "volume_fold", "sums_check", "missing_volumes", "torn_journal", "trailer_check", "sanitized", "package_match", "found_apps",
     "install_plan", "config_plan", "install_commands", "command_outcomes", "resolved_paths", "excluded_globs",
+    "conflict_actions", "restore_totals", "restore_roots", "collision_rename", "codec_round_trip", "appdb_problems", "reassembly",
+    *(f.__name__ for f in registry.QUERIES),
 ]
 
 
