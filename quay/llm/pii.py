@@ -52,6 +52,12 @@ SHAPES = {
 }
 #: Code points beside a span in which its neighbour words are looked for.
 REACH = 64
+#: Code points of a piece of a text: what stands at a place is looked for in its piece, not from the text's beginning.
+PIECE = 4096
+#: Pieces in a group.
+GROUP = 16
+#: Matches whose positions are added up in one run.
+RUN_LENGTH = 64
 
 
 def digits(x: Column) -> Column:
@@ -76,8 +82,16 @@ def valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also where it is used within a function over array elements: the optimizer moves no column in there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern as structs (start, end, value), in code points."""
+    """Matches of a pattern as structs (start, end, value), in code points.
+
+    Positions are sums of lengths: first of each run of RUN_LENGTH matches, then within the runs, so no array is copied once for each match.
+    """
     kind = "array<struct<start: int, end: int, value: string>>"
     hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     both = F.arrays_zip(hits.alias("hit"), F.slice(between, F.lit(1), F.size(hits)).alias("gap"))
@@ -87,7 +101,43 @@ def located(text: Column, pattern: str) -> Column:
         end = start + F.length(x["hit"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value")))).alias("out"))
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    def inside(run: Column, at: Column) -> Column:
+        return F.aggregate(run, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+
+    def runs(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((F.size(all_) - 1) / RUN_LENGTH).cast("int")), lambda k: F.slice(all_, k * RUN_LENGTH + 1, F.lit(RUN_LENGTH)))
+
+    def bases(parts: Column) -> Column:
+        """Where each run begins."""
+        length = lambda run: F.aggregate(run, F.lit(0), lambda acc, x: acc + F.length(x["gap"]) + F.length(x["hit"]))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(parts, start, lambda acc, run: F.struct((acc["at"] + length(run)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    many = lambda parts: F.flatten(F.transform(F.arrays_zip(parts.alias("run"), bases(parts).alias("at")), lambda x: inside(x["run"], x["at"])))
+    return let(both, lambda all_: F.when(F.size(all_) <= RUN_LENGTH, inside(all_, F.lit(0))).otherwise(let(runs(all_), many)))
+
+
+def pieces_of(text: Column) -> Column:
+    """The text in pieces of PIECE code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def between(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points [start, end) of a text in pieces, at most PIECE of them."""
+    first = (start / PIECE).cast("int")
+    one = F.coalesce(F.try_element_at(pieces, first + 1), F.lit(""))
+    both = F.when(end > (first + 1) * PIECE, F.concat(one, F.coalesce(F.try_element_at(pieces, first + 2), F.lit("")))).otherwise(one)
+    return F.substring(both, start - first * PIECE + 1, end - start)
+
+
+def by_piece(spans: Column, pieces: Column) -> Column:
+    """For each piece the spans that reach into it; they are dealt to groups of pieces first."""
+
+    def within(some: Column, size: int):
+        return lambda k: F.filter(some, lambda b: (b["start"] < (k + 1) * size) & (b["end"] > k * size))
+
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(((F.size(pieces) - 1) / GROUP).cast("int"), F.lit(0))), within(spans, GROUP * PIECE))
+    return let(groups, lambda all_: F.transform(pieces, lambda _, k: within(F.element_at(all_, (k / GROUP).cast("int") + 1), PIECE)(k)))
 
 
 def worded(near: Column) -> Column:
@@ -95,13 +145,13 @@ def worded(near: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(near, r"\s", " "), rf"(?<![^ ])[{re.escape(EDGES)}]++(?![^ ])", " ")
 
 
-def neighbour(text: Column, start: Column, end: Column, left: bool) -> Column:
+def neighbour(pieces: Column, start: Column, end: Column, left: bool) -> Column:
     """The word before or behind a span, in lower case and without its edges; empty where there is none."""
     if left:
-        near = F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, start - F.greatest(start - REACH, F.lit(0)))
+        near = between(pieces, F.greatest(start - REACH, F.lit(0)), start)
         word = F.element_at(F.split(F.rtrim(worded(near)), " "), -1)
     else:
-        near = F.substring(text, end + 1, F.lit(REACH))
+        near = between(pieces, end, end + REACH)
         word = F.element_at(F.split(F.ltrim(worded(near)), " "), 1)
     return F.lower(F.btrim(word, F.lit(EDGES)))
 
@@ -125,8 +175,17 @@ def found(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({k: passing(k) for k in KINDS})
     base = F.concat(*map(numbered, KINDS))
     rows = rows.withColumn("base", base).withColumn("words", F.when(at | digit, located(text, CANDIDATE)).otherwise(none))
+    rows = rows.withColumn("pieces", F.when((F.size("words") > 0) | (F.size("base") > 0), pieces_of(text)))
+    pieces = F.col("pieces")
+
+    def blanked(piece: Column, k: Column, spans: Column) -> Column:
+        """The piece with line ends where spans are."""
+        low, high = lambda b: F.greatest(b["start"] - k * PIECE, F.lit(0)), lambda b: F.least(b["end"] - k * PIECE, F.length(piece))
+        return F.aggregate(spans, piece, lambda acc, b: F.concat(F.substring(acc, F.lit(1), low(b)), F.repeat(F.lit("\n"), high(b) - low(b)), F.substring(acc, high(b) + 1, F.lit(PIECE))))
+
     # runs end where a base span begins
-    hidden = F.aggregate("base", text, lambda acc, b: F.concat(F.substring(acc, F.lit(1), b["start"]), F.repeat(F.lit("\n"), b["end"] - b["start"]), F.substring(acc, b["end"] + 1, F.length(acc))))
+    zipped = F.arrays_zip(pieces.alias("p"), by_piece(F.col("base"), pieces).alias("b"))
+    hidden = F.array_join(F.transform(zipped, lambda x, k: blanked(x["p"], k, x["b"])), "")
     rows = rows.withColumn("_left", F.when(digit, F.when(F.size("base") > 0, hidden).otherwise(text)))
 
     def run(w: Column) -> Column:
@@ -145,10 +204,21 @@ def found(docs: DataFrame) -> DataFrame:
         core = F.btrim(w["value"], F.lit(EDGES))
         return F.struct(F.lit(-1).alias("kind"), (w["start"] + lead).alias("start"), (w["start"] + lead + F.length(core)).alias("end"), core.alias("value"))
 
-    apart = lambda w: (w["value"] != "") & ~F.exists(F.concat("base", "runs"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    every = F.concat("base", "runs", F.filter(F.transform("words", bare), apart))
-    beside = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), neighbour(text, x["start"], x["end"], True).alias("left"), neighbour(text, x["start"], x["end"], False).alias("right"))
-    rows = rows.withColumn("seen", F.when(F.size("words") + F.size("base") + F.size("runs") > 0, F.transform(every, beside)))
+
+    def apart(w: Column, taken: Column) -> Column:
+        """Whether a word is not in a span that is known; ``taken``: those by piece."""
+        first = (w["start"] / PIECE).cast("int")
+        near = F.slice(taken, first + 1, ((w["end"] - 1) / PIECE).cast("int") - first + 1)
+        return (w["value"] != "") & ~F.exists(near, lambda spans: F.exists(spans, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+
+    left_over = let(by_piece(F.concat("base", "runs"), pieces), lambda taken: F.filter(F.transform("words", bare), lambda w: apart(w, taken)))
+    every = F.concat("base", "runs", left_over)
+
+    def beside(x: Column, parts: Column) -> Column:
+        return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), neighbour(parts, x["start"], x["end"], True).alias("left"), neighbour(parts, x["start"], x["end"], False).alias("right"))
+
+    seen = let(pieces, lambda parts: F.transform(every, lambda x: beside(x, parts)))
+    rows = rows.withColumn("seen", F.when(F.size("words") + F.size("base") + F.size("runs") > 0, seen))
     plain = F.transform("base", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", plain.alias("base"), "seen")
 
