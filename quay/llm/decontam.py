@@ -2,7 +2,8 @@
 
 The normalised test items go into one automaton over words. Each document's words stream through it; the length of the longest
 match that ends at a word says whether a window of an item ends there, and the state says of which items. Hit words form spans;
-cleaning cuts the spans out and drops documents of which too large a share is hit.
+cleaning cuts the spans out, again until no window is left (the two sides of a cut may form one), and drops documents of which too large
+a share is hit to begin with.
 
 Only stretches whose neighbouring words follow each other in some item are streamed: elsewhere a match is one word long.
 
@@ -27,6 +28,8 @@ from quay.llm import columns
 
 #: Words of the benchmark in one automaton; a larger benchmark is taken in blocks.
 BLOCK_WORDS = 200_000
+#: With several blocks a task builds one automaton after the other for about so many bytes of text.
+GROUP_BYTES = 64 << 20
 #: Bits of the table of word pairs (a filter; the automaton decides).
 PAIR_BITS = 22
 
@@ -200,35 +203,63 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def automata(benchmark: DataFrame, window: int) -> list:
-    """Broadcast automata, each over at most BLOCK_WORDS words (or one item)."""
+    """Broadcast blocks of items, each of at most BLOCK_WORDS words (or one item). Workers build the automata; the driver holds one block at a time."""
     sc = benchmark.sparkSession.sparkContext
     out, block, size = [], [], 0
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
     for r in rows.toLocalIterator():
         words = item_words(r.text)
         if block and size + len(words) > BLOCK_WORDS:
-            out.append(sc.broadcast(Automaton.build(block, window)))
+            out.append(sc.broadcast((window, block)))
             block, size = [], 0
         block.append((r.item_id, words))
         size += len(words)
-    return [*out, sc.broadcast(Automaton.build(block, window))]
-
-
-def _matched(rows: pa.RecordBatch, blocks: list, ready: dict) -> tuple[columns.Words, dict]:
-    words = columns.split(rows.column("text"), columns.alnum_classes())
-    found: dict = {}
-    for k, b in enumerate(blocks):
-        if k not in ready:
-            if len(blocks) > 1:
-                ready.clear()  # one automaton in memory at a time
-            ready[k] = Matcher(b.value)
-            if len(blocks) > 1:
-                del b._value
-        for d, (runs, items) in ready[k].hits(words).items():
-            have = found.setdefault(d, ([], set()))
-            have[0].extend(runs)
-            have[1].update(items)
-    return words, {d: (merged(runs), items) for d, (runs, items) in found.items()}
+    return [*out, sc.broadcast((window, block))]
+
+
+class Matchers:
+    """The matchers of a task, one in memory at a time."""
+
+    def __init__(self, blocks: list):
+        self.blocks, self.at, self.now = blocks, -1, None
+
+    def get(self, k: int) -> Matcher:
+        if k != self.at:
+            self.now = None
+            window, items = self.blocks[k].value
+            self.at, self.now = k, Matcher(Automaton.build(items, window))
+            if len(self.blocks) > 1:
+                del self.blocks[k]._value
+        return self.now
+
+    def found(self, texts: list[columns.Words]) -> list[dict]:
+        """For each of some slices: by document, hit runs of words and items."""
+        out: list[dict] = [{} for _ in texts]
+        for k in range(len(self.blocks)):
+            matcher = self.get(k)
+            for words, hits in zip(texts, out, strict=True):
+                for d, (runs, items) in matcher.hits(words).items():
+                    have = hits.setdefault(d, ([], set()))
+                    have[0].extend(runs)
+                    have[1].update(items)
+        return [{d: (merged(runs), items) for d, (runs, items) in hits.items()} for hits in out]
+
+    def groups(self, batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        """Slices of rows to take together: one, or with several blocks as many as have GROUP_BYTES."""
+        held, size = [], 0
+        for batch in batches:
+            for rows in columns.slices(batch, "text"):
+                held.append(rows)
+                size += columns.text_buffer(rows.column("text"))[1][-1]
+                if len(self.blocks) == 1 or size >= GROUP_BYTES:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
+
+def split(texts: pa.Array) -> columns.Words:
+    return columns.split(texts, columns.alnum_classes())
 
 
 def char_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -242,10 +273,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFram
     blocks = automata(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict = {}
-        for batch in batches:
-            for rows in columns.slices(batch, "text"):
-                words, found = _matched(rows, blocks, ready)
+        ready = Matchers(blocks)
+        for group in ready.groups(batches):
+            texts = [split(rows.column("text")) for rows in group]
+            for rows, words, found in zip(group, texts, ready.found(texts), strict=True):
                 n = rows.num_rows
                 hit, items, spans = np.zeros(n, np.int64), [[]] * n, [[]] * n
                 for d, (runs, whose) in found.items():
@@ -258,25 +289,39 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = 10) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCAN_SCHEMA)
 
 
+def cut_until_clean(ready: Matchers, texts: list[str], hits: list[list[tuple[int, int]]]) -> list[str]:
+    """The texts without their hit runs of words, cut again as long as what then stands side by side is hit."""
+    texts, open_ = list(texts), list(range(len(texts)))
+    while open_:
+        for i, runs in zip(open_, hits, strict=True):
+            for x, y in reversed(char_spans(texts[i], runs)):
+                texts[i] = texts[i][:x] + texts[i][y:]
+        found = ready.found([split(pa.array([texts[i] for i in open_], pa.large_string()))])[0]
+        open_, hits = [open_[k] for k in sorted(found)], [found[k][0] for k in sorted(found)]
+    return texts
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
-    """The documents with hit spans cut out; those with more than ``max_coverage`` of their words hit go. Columns stay as they are,
-    but ``n_chars``, where there is one, follows the text."""
+    """The documents with hit spans cut out until none is left; those with more than ``max_coverage`` of their words hit before any cut go. Columns stay
+    as they are, but ``n_chars``, where there is one, follows the text."""
     blocks = automata(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: dict = {}
-        for batch in batches:
-            for rows in columns.slices(batch, "text"):
-                words, found = _matched(rows, blocks, ready)
+        ready = Matchers(blocks)
+        for group in ready.groups(batches):
+            texts = [split(rows.column("text")) for rows in group]
+            for rows, words, found in zip(group, texts, ready.found(texts), strict=True):
                 if not found:
                     yield rows
                     continue
-                n_words, texts, keep = words.counts(), rows.column("text").to_pylist(), np.ones(rows.num_rows, bool)
+                n_words, keep = words.counts(), np.ones(rows.num_rows, bool)
                 for d, (runs, _) in found.items():
                     keep[d] = sum(y - x for x, y in runs) <= max_coverage * n_words[d]
-                    for x, y in reversed(char_spans(texts[d], runs)):
-                        texts[d] = texts[d][:x] + texts[d][y:]
-                out = rows.set_column(rows.schema.get_field_index("text"), rows.schema.field("text"), pa.array(texts, rows.schema.field("text").type))
+                column = rows.column("text").to_pylist()
+                part = sorted(d for d in found if keep[d])
+                for d, text in zip(part, cut_until_clean(ready, [column[d] for d in part], [found[d][0] for d in part]), strict=True):
+                    column[d] = text
+                out = rows.set_column(rows.schema.get_field_index("text"), rows.schema.field("text"), pa.array(column, rows.schema.field("text").type))
                 if "n_chars" in rows.schema.names:
                     field_ = rows.schema.field("n_chars")
                     now = pc.if_else(pa.array([d in found for d in range(rows.num_rows)]), pc.utf8_length(out.column("text")).cast(field_.type), rows.column("n_chars"))
