@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from quay.llm import columns
 
-#: Labelled rows to learn from: those with the least hash of doc_id, at most so many.
+#: Labelled rows to learn from: those with the least hash of doc_id, at most so many; of these, texts of more bytes are left out.
 MAX_TRAIN = 1500
+MAX_BYTES = 1 << 20
 BUCKET_BITS = 18
 SIZES = (3, 4)
 SCHEMA = "doc_id long, score double"
@@ -73,9 +74,10 @@ def fit(texts: list[str], labels: list[int], *, dims: int = 8, epochs: int = 6,
     # one array for all documents' features, filled chunk by chunk: many small arrays would keep much more memory
     parts, held, sizes = [], [], []
     for text in texts:
-        words, counts = np.unique(np.array(text.split(), object), return_counts=True) if text.split() else ([], np.zeros(0, np.int64))
+        split = columns.split(pa.array([text]), columns.whitespace_classes(), lower=False)
+        words, counts = split.vocab.to_pylist(), np.bincount(split.index, minlength=len(split.vocab))
         if len(words):
-            feature, owner = word_features(list(words))
+            feature, owner = word_features(words)
             ids, which = np.unique(feature, return_inverse=True)
             share = np.bincount(which, counts[owner].astype(np.float64)).astype(np.float32)
             held.append((ids.astype(np.int32), share / share.sum()))
@@ -111,12 +113,13 @@ def fit(texts: list[str], labels: list[int], *, dims: int = 8, epochs: int = 6,
 def learn(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN) -> Model:
     """Fit on the texts of at most ``max_train`` rows of ``labels`` (doc_id, quality): those with the least hash of doc_id.
 
-    The labels are chosen first, so the side that is broadcast has at most ``max_train`` rows and no text is shuffled.
+    The labels are chosen first, so the side that is broadcast has at most ``max_train`` rows. A doc_id counts once: of several labels the least, of
+    several texts the least. Texts of more than ``MAX_BYTES`` are not learned from, which bounds what the driver gets.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train)
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = sorted(texts.join(F.broadcast(chosen), "doc_id").collect())
+    chosen = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= MAX_BYTES)
+    rows = sorted(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).collect())
     if not rows:
         return Model(np.zeros(1 << BUCKET_BITS), 0.0)
     return fit([r.text for r in rows], [r.label for r in rows])
