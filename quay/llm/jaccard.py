@@ -354,5 +354,6 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """Of each component the document with the least doc_id, with all its columns."""
-    gone = classes(docs).where("not (doc_id <=> component_id)").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone")).distinct()
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("_gone"), "left_anti")
+    gone = shared.unused(docs, "gone")
+    others = classes(docs).where("not (doc_id <=> component_id)").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(gone)).distinct()
+    return docs.join(others, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col(gone), "left_anti")
