@@ -5,9 +5,10 @@ import collections
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
-from quay.llm import quality
+from quay.llm import quality, queries
 from test_jaccard import brute
-from test_ops import brute_hits, reference_ids
+from test_ops import brute_hits
+from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,10 +80,14 @@ def test_decontaminated(spark, stages):
 
 def test_packed(stages):
     before, pieces = rows(stages[4][1]), stages[5][1].collect()
-    got = collections.defaultdict(list)
-    for r in pieces:
-        got[r.doc_id].append((r.start, bytes(r.ids)))
-    assert len({r.sequence_id for r in pieces}) == len(pieces)
-    for d, t in before[:60]:
-        ids = b"".join(i.to_bytes(4, "little") for i in [*reference_ids(t), 1])
-        assert b"".join(x for _, x in sorted(got[d])) == ids or len(got[d]) > len(ids)
+    plain = Tokenizer.from_file(queries.TOKENIZER)
+    want = collections.Counter()
+    for d, t in before:
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
+        at = 0
+        while at < len(ids):
+            size = min(2048, 1 << (len(ids) - at).bit_length() - 1)
+            want[d, at, b"".join(i.to_bytes(4, "little") for i in ids[at : at + size])] += 1
+            at += size
+    assert collections.Counter((r.doc_id, r.start, bytes(r.ids)) for r in pieces) == want
+    assert len({r.sequence_id for r in pieces}) == len(pieces) and all(r.offset == 0 and r.length <= 2048 for r in pieces)
